@@ -34,7 +34,7 @@ from .superminhash import bands, signatures
 
 SLOTS, ROWS = 128, 4
 #: Classes on each side of a tile.
-TILE = 256
+TILE = 1024
 #: Bits of the filter that keeps texts without candidates out of the shuffle (64 a row, broadcast: 2 MB at most).
 BITS = 1 << 22
 #: Parts that a hot class of copies is dealt into.
