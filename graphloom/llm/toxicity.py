@@ -100,47 +100,58 @@ def train(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 40, r
 def embed(texts: list[str], labels: list[int], dim: int, epochs: int, rate: float, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Values of the buckets (embedding times the softmax's difference) and the bias."""
     y = np.array(labels, np.float64)
-    vocabulary: dict[int, int] = {}
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # words seen, sorted, and their numbers
     bag_of, owner_of, docs, place = [], [], [], []
-    known = 0
-    for a, _, piece in tb.pieces(pa.array(texts, pa.large_string())):
+    for a, _, piece in tb.pieces(pa.array(texts, pa.large_string()), 1 << 19):
         bucket, owner, of, word = bags(piece)
         kind, first, back = np.unique(word, return_index=True, return_inverse=True)
-        number = np.array([vocabulary.setdefault(int(w), len(vocabulary)) for w in kind])
-        new = number >= known
-        take = np.full(len(word), -1)
-        take[first[new]] = number[new]
-        chosen = take[owner] >= 0
+        at = np.searchsorted(known, kind)
+        old = np.zeros(len(kind), bool)
+        old[at < len(known)] = known[at[at < len(known)]] == kind[at < len(known)]
+        own = np.zeros(len(kind), np.int32)
+        own[old] = number[at[old]]
+        own[~old] = len(known) + np.arange((~old).sum(), dtype=np.int32)
+        take = np.full(len(word), -1, np.int32)
+        take[first[~old]] = own[~old]
+        known, number = np.insert(known, at[~old], kind[~old]), np.insert(number, at[~old], own[~old])
+        chosen = np.flatnonzero(take[owner] >= 0)
+        chosen = chosen[np.argsort(take[owner[chosen]], kind="stable")]  # words in order, as their numbers are
         bag_of.append(bucket[chosen])
         owner_of.append(take[owner[chosen]])
-        known = len(vocabulary)
-        pair = np.unique((of + a) * np.int64(1 << 32) + number[back])
-        docs.append(pair >> 32)
-        place.append(pair & 0xFFFFFFFF)
+        pair = np.unique((of + a) * np.int64(1 << 32) + own[back])
+        docs.append((pair >> 32).astype(np.int32))
+        place.append((pair & 0xFFFFFFFF).astype(np.int32))
     bag, owner, doc, place = (np.concatenate(x) for x in (bag_of, owner_of, docs, place))
-    rows, bag = np.unique(bag, return_inverse=True)
-    count = np.maximum(np.bincount(owner, minlength=known), 1)
-    order = np.argsort(bag, kind="stable")
-    by_bag, edge = owner[order], np.flatnonzero(np.r_[True, np.diff(bag[order]) > 0])
+    del bag_of, owner_of, docs
+    words = len(known)
+    rows = np.flatnonzero(np.bincount(bag, minlength=BUCKETS))
+    at = np.zeros(BUCKETS, np.int32)
+    at[rows] = np.arange(len(rows), dtype=np.int32)
+    bag = at[bag]
+    count = np.bincount(owner, minlength=words).astype(np.float32)
+    by_word = np.concatenate([[0], np.cumsum(count[:-1], dtype=np.int64)])
+    order = np.argsort(bag, kind="stable").astype(np.int32)
+    by_bag = owner[order]
+    edge = np.concatenate([[0], np.cumsum(np.bincount(bag, minlength=len(rows))[:-1])])
+    del order, owner
     random = np.random.default_rng(seed)
-    e = random.normal(0, 0.3, (len(rows), dim))
-    w = np.stack([-np.ones(dim), np.ones(dim)]) / np.sqrt(dim) + random.normal(0, 0.01, (2, dim))
-    bias = np.array([-8.0])
+    e = random.normal(0, 0.3, (len(rows), dim)).astype(np.float32)
+    w = (np.stack([-np.ones(dim), np.ones(dim)]) / np.sqrt(dim) + random.normal(0, 0.01, (2, dim))).astype(np.float32)
+    bias = np.array([-8.0], np.float32)
     sure = np.where(y > 0, 1.0, prior)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, bias)]
-    words = np.bincount(doc, minlength=len(y))
+    some = np.bincount(doc, minlength=len(y)) > 0
     for step in range(1, epochs + 1):
         value = e @ (w[1] - w[0])
-        z = bias[0] + np.bincount(owner, weights=value[bag], minlength=known) / count
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(doc, weights=np.logaddexp(0, np.clip(z, -30, 30))[place], minlength=len(y))
+        z = np.clip(bias[0] + np.add.reduceat(value[bag], by_word) / count, -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        none = np.bincount(doc, weights=np.logaddexp(0, z)[place], minlength=len(y))
         # d loss / d sum of softplus: 1 for clean documents, -P(none) / P(any) for toxic ones
-        pull = sure * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(none, 700)), 1e-6), 1.0) * (words > 0) / len(y)
-        slope = np.bincount(place, weights=pull[doc], minlength=known) * p
+        pull = sure * np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(none, 700)), 1e-6), 1.0) * some / len(y)
+        slope = (np.bincount(place, weights=pull[doc], minlength=words) * p).astype(np.float32)
         by_value = np.add.reduceat((slope / count)[by_bag], edge)
-        grads = [by_value[:, None] * (w[1] - w[0]) + 1e-7 * e, None, np.array([slope.sum()])]
         g = by_value @ e
-        grads[1] = np.stack([-g, g]) + 1e-6 * w
+        grads = [by_value[:, None] * (w[1] - w[0]) + 1e-7 * e, np.stack([-g, g]) + 1e-6 * w, np.array([slope.sum()])]
         for x, g, m in zip((e, w, bias), grads, moments, strict=True):
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.01 * (g * g - m[1])
