@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .store import keep
 
 #: Words that a worker remembers in each of two generations.
-HELD = 400_000
+HELD = 300_000
 #: Parts by which pieces of one length are ranked.
 PARTS = 256
 
@@ -50,16 +50,19 @@ class WordCoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        last = [t.endswith("</w>") for t, _ in sorted(self.whole.get_vocab().items(), key=lambda x: x[1])]
+        # one tokenizer in two states: as in the file, and with bare splitting for words split here
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(last)
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def state(self, state: tuple) -> None:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = state
+
     def learn(self, words: set[bytes]) -> None:
         plain, odd = {}, []
         for w in words:
@@ -70,9 +73,10 @@ class WordCoder:
             else:
                 odd.append(w)
         new = list({p for parts in plain.values() for p in parts} - self.parts.keys())
+        self.state(self.bare)
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
-            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             assert len(cut) == len(some)
             raw, low = ids.tobytes(), 0
@@ -81,7 +85,8 @@ class WordCoder:
                 low = high
         for w, parts in plain.items():
             self.words[w] = b"".join([self.parts[p] for p in parts])
-        for w, e in zip(odd, self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+        self.state(self.whole)
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -115,8 +120,8 @@ def _cut(path: str, end: int, capacity: int, ids: bool):
                     made += mark
                     for piece, at in enumerate(range(0, len(made), step)):
                         part = made[at : at + step]
-                        rows.append((name, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4")] if ids else [])))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                        rows.append((name, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if ids else [])))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     return run
@@ -128,7 +133,7 @@ def cut(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, ids
     tokenizer: path of a tokenizers file, present on every executor. end: the id after each document.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_cut(tokenizer, end, capacity, ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids)
+    return source.mapInArrow(_cut(tokenizer, end, capacity, ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def fill(room: int, sizes: list[int], left: dict[int, int], effort: int = 400) -> tuple[int, ...]:
