@@ -178,7 +178,8 @@ def score(texts: tb.Texts, model: Model) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model:
     """A model from at most `most` toxic and 2 * `most` other labelled documents, none with crc32(doc_id) mod 5 = 0.
 
-    labels: doc_id, toxic (0 or 1). The sample is those of least hash; labels without a text are passed over.
+    labels: doc_id, toxic (0 or 1). The sample is those of least hash; labels without a text are passed over,
+    and of rows that share a doc_id the least text is taken.
     """
     usable = labels.where("doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as bigint) as string)) % 5 <> 0")
     one = usable.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").alias("toxic"))
@@ -186,12 +187,32 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model:
     chosen = one.where("toxic = 1").orderBy(F.xxhash64("labelled"), "labelled").limit(most)
     chosen = chosen.union(one.where("toxic = 0").orderBy(F.xxhash64("labelled"), "labelled").limit(2 * most))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).collect()  # 3 * most rows at most
-    toxic = sum(r.toxic for r in rows)
-    if not toxic or toxic == len(rows):
-        return np.zeros(BUCKETS, np.float32), -8.0, 1.0, 0.0
+    sample = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     share = counts.get(0, 1) / max(1, counts.get(1, 1))
-    return train([r.text or "" for r in rows], [r.toxic for r in rows], prior=max(1.0, share * toxic / (len(rows) - toxic)))
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")  # 3 * most rows at most
+    made = ordered.mapInArrow(_trained(share), "values binary, bias double, slope double, level double").collect()  # one row of a fixed size
+    if not made:
+        return np.zeros(BUCKETS, np.float32), -8.0, 1.0, 0.0
+    return np.frombuffer(made[0]["values"], np.float32), made[0]["bias"], made[0]["slope"], made[0]["level"]
+
+
+def _trained(share: float):
+    """Trains in a task, so that the driver holds neither the sample nor the training's arrays.
+
+    share: of clean to toxic labels. No row comes of a sample without both classes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column("text").to_pylist()]
+            labels += batch.column("toxic").to_pylist()
+        toxic = sum(labels)
+        if 0 < toxic < len(labels):
+            table, *rest = train(texts, labels, prior=max(1.0, share * toxic / (len(labels) - toxic)))
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in rest)], ["values", "bias", "slope", "level"])
+
+    return run
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -203,6 +203,26 @@ def test_toxicity_learns_and_shares_ngrams():
     assert score[0] > 0.5 > score[1] and 0 <= score.min() and score.max() <= 1
 
 
+def test_toxicity_learning_in_a_task_equals_training_here(spark, odd):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    usable = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = docs.orderBy(F.xxhash64("doc_id")).collect()
+    rows = [(r.text or "", usable[r.doc_id]) for r in rows if r.doc_id in usable]
+    toxic = sum(y for _, y in rows)
+    # the sample takes all labels here, so the weight of a clean one is 1
+    assert 0 < toxic <= 1500 and len(rows) - toxic <= 3000
+    want = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    assert np.allclose(model[0], want[0], atol=1e-3) and np.allclose(model[1:], want[1:], atol=1e-3)
+    # no labels, one class only, and a label without a document give the model of no knowledge
+    for frame in (labels.limit(0), labels.withColumn("toxic", F.lit(0)), labels.select((F.col("doc_id") + 10**9).alias("doc_id"), "toxic")):
+        assert not toxicity.learn(docs, frame)[0].any()
+    # repeated ids, null ids and null texts are learned from without harm, and every row is scored
+    some = spark.createDataFrame([(i, int(i in (3, 6)), 1) for i in range(len(ODD))] + [(None, 1, 1)], "doc_id long, toxic int, text int")
+    scored = toxicity.scored(odd, toxicity.learn(odd, some)).collect()
+    assert len(scored) == odd.count() and all(0 <= r["toxicity score"] <= 1 for r in scored)
+
+
 def test_url_rules(spark):
     assert urlrules.fixed("www.example.com", "/en/7x") == ("example.com/en/7", "allow") and urlrules.fixed("a.com", "/en/") == ("com/en/", "block")
     assert urlrules.fixed("acom", "/en/") == (None, None) and urlrules.split("no scheme") == ("", "", "") and urlrules.split("x://A.B?q")[:2] == ("a.b", "")
