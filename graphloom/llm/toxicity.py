@@ -28,6 +28,8 @@ from . import textbatch as tb
 
 SIZES = (4, 6)
 BUCKETS = 1 << 18
+#: Bytes of text that are worked on at once; a byte takes about 200 bytes of arrays.
+PIECE = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -84,7 +86,7 @@ def train(texts: list[str], labels: list[int], dim: int = 4, epochs: int = 40, r
     fit = np.flatnonzero(~fold)
     table, bias = embed([texts[i] for i in fit], [labels[i] for i in fit], dim, epochs, rate, prior, seed)
     held = np.flatnonzero(fold) if fold.any() else fit
-    x = np.concatenate([evidence(t, table, bias) for _, _, t in tb.pieces(pa.array([texts[i] for i in held], pa.large_string()), 1 << 20)])
+    x = np.concatenate([evidence(t, table, bias) for _, _, t in tb.pieces(pa.array([texts[i] for i in held], pa.large_string()), PIECE)])
     weight = np.where(y[held] > 0, 1.0, prior)
     a, b = 1.0, 0.0
     for _ in range(200):  # damped Newton steps of a weakly bound logistic regression
@@ -102,7 +104,7 @@ def embed(texts: list[str], labels: list[int], dim: int, epochs: int, rate: floa
     y = np.array(labels, np.float64)
     known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # words seen, sorted, and their numbers
     bag_of, owner_of, docs, place = [], [], [], []
-    for a, _, piece in tb.pieces(pa.array(texts, pa.large_string()), 1 << 19):
+    for a, _, piece in tb.pieces(pa.array(texts, pa.large_string()), PIECE):
         bucket, owner, of, word = bags(piece)
         kind, first, back = np.unique(word, return_index=True, return_inverse=True)
         at = np.searchsorted(known, kind)
@@ -222,7 +224,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in tb.pieces(batch.column(names.index("text")), 1 << 20):
+            for a, b, texts in tb.pieces(batch.column(names.index("text")), PIECE):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score(texts, shared.value))], [*names, "toxicity score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity score", T.DoubleType())]))
