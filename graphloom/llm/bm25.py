@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 
 from . import textbatch as tb
 from .store import keep
+from .workers import by_batch
 
 K1, B = 1.2, 0.75
 #: Documents of a segment and of a block; queries of a block.
@@ -157,13 +158,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     plain = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     source = plain(docs)
-    stats = keep(source.mapInArrow(_frequencies, "word long, df long, length long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("length").alias("length")), "frequencies")
+    stats = keep(by_batch(source, _frequencies, "word long, df long, length long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("length").alias("length")), "frequencies")
     whole = stats.where("word is null").first()
     schema = "query_id long, rank int, doc_id long, score double"
     if whole is None or not whole.length:
         return spark.createDataFrame([], schema)
     number, mean = whole.df, whole.length / whole.df
-    index = keep(source.mapInArrow(_segments(mean), "ids binary, words binary, first binary, docs binary, impacts binary"), "segments")
+    index = keep(by_batch(source, _segments(mean), "ids binary, words binary, first binary, docs binary, impacts binary"), "segments")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +174,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(name[a:b][of]), pa.array(word.view(np.int64))], ["query_id", "word"])
 
     idf = F.log1p((F.lit(number) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    words = plain(queries).mapInArrow(split, "query_id long, word long").distinct().join(stats.where("word is not null"), "word").select("query_id", "word", idf.alias("idf"))
+    words = by_batch(plain(queries), split, "query_id long, word long").distinct().join(stats.where("word is not null"), "word").select("query_id", "word", idf.alias("idf"))
     grouped = words.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("terms"))  # the words of one text
     blocks = max(1, -(-plain(queries).select("doc_id").distinct().count() // QUERIES))
     dealt = keep(grouped.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
@@ -186,7 +187,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             [np.array([t.idf for t in r.terms], np.float64).tobytes() for r in rows],
         ]
         shared = spark.sparkContext.broadcast(value)
-        part = keep(index.repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInArrow(_search(shared, k), "query_id long, doc_id long, score double"), "hits")
+        part = keep(by_batch(index.repartition(max(1, spark.sparkContext.defaultParallelism * 2)), _search(shared, k), "query_id long, doc_id long, score double"), "hits")
         shared.unpersist()
         hits = part if hits is None else hits.union(part)
     own = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")

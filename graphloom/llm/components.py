@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep
+from .workers import by_batch
 
 #: Links that one union-find holds before it hands on its forest.
 HELD = 1 << 20
@@ -41,7 +42,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """links: u, v (long). Returns u and root, the least node that u reaches, for each u that isn't a root."""
     spark = links.sparkSession
-    edges = keep(links.where("u <> v").mapInArrow(_forest, "u long, v long"), "forest")
+    edges = keep(by_batch(links.where("u <> v"), _forest, "u long, v long"), "forest")
     before = None
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")

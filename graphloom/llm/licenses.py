@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import by_batch
+
 # Public license texts and notices.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -144,4 +146,4 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLA
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "licenses"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, licenses array<struct<license: string, coverage: double, start: long, end: long>>")
+    return by_batch(source, run, "doc_id long, licenses array<struct<license: string, coverage: double, start: long, end: long>>")

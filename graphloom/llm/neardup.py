@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .components import components
 from .store import keep
+from .workers import by_batch
 from .superminhash import bands, signatures
 
 SLOTS, ROWS = 128, 4
@@ -135,7 +136,7 @@ def _test(rows: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Links of all tiles. rows: t_1, t_2, t_3, side, rep, comp."""
     keys = [c for c in rows.columns if c.startswith("t_")]
     whole = rows.join(sets, "rep").select(*keys, "side", "rep", "comp", "set")
-    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tiles(share), "u long, v long").distinct()
+    return by_batch(whole.repartition(*keys).sortWithinPartitions(*keys), _tiles(share), "u long, v long").distinct()
 
 
 def _place(id: str) -> str:
@@ -162,7 +163,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
     """
     share = Fraction(similarity)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = keep(source.mapInArrow(_features(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "features")
+    seen = keep(by_batch(source, _features(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "features")
     real = seen.where("doc_id is not null and n_shingles > 0")
     classes = keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
@@ -174,7 +175,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
 
     # full sets of all candidates
     ids = keep(member.select("rep").union(member.select("pivot")).distinct(), "candidates")
-    wanted = _passing(source, ids).join(ids, F.col("doc_id") == ids.rep, "left_semi").mapInArrow(_sets(words), "rep long, set binary")
+    wanted = by_batch(_passing(source, ids).join(ids, F.col("doc_id") == ids.rep, "left_semi"), _sets(words), "rep long, set binary")
     sets = keep(wanted.distinct(), "sets")
 
     # every candidate against the least class of its bucket, TILE at a time

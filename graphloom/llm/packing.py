@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .store import keep
+from .workers import by_batch, hold
 
 #: Words that a worker remembers in each of two generations.
 HELD = 300_000
@@ -104,12 +105,9 @@ class WordCoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-_coders: dict[str, WordCoder] = {}
-
-
 def _cut(path: str, end: int, capacity: int, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coders.get(path) or _coders.setdefault(path, WordCoder(path))
+        coder = hold(f"words of {path}", lambda: WordCoder(path))
         mark, step = np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
@@ -133,7 +131,7 @@ def cut(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, ids
     tokenizer: path of a tokenizers file, present on every executor. end: the id after each document.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_cut(tokenizer, end, capacity, ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return by_batch(source, _cut(tokenizer, end, capacity, ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids, caches=True)
 
 
 def fill(room: int, sizes: list[int], left: dict[int, int], effort: int = 400) -> tuple[int, ...]:
@@ -244,7 +242,7 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     ranked = dealt.withColumn("own", own).join(before.select("length", "part", "before"), ["length", "part"])
     ranked = ranked.select(*pieces.columns, (F.col("own") + F.col("before")).cast("long").alias("rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_assign(plan(counts, capacity)), schema)
+    return by_batch(ranked, _assign(plan(counts, capacity)), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, ids: bool = False) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import by_batch, hold
+
 #: Words that a worker remembers in each of two generations.
 HELD = 250_000
 MARK = "▁"
@@ -207,11 +209,8 @@ class Encoder:
         return [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, ids, text in out]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+    return hold(f"pieces of {path}", lambda: Encoder(path))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -230,7 +229,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                     [some.column("doc_id"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))], ["doc_id", "ids", "begins", "ends"]
                 )
 
-    return _source(docs).mapInArrow(run, "doc_id long, ids array<int>, begins array<long>, ends array<long>")
+    return by_batch(_source(docs), run, "doc_id long, ids array<int>, begins array<long>, ends array<long>", caches=True)
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
@@ -243,4 +242,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 rows = zip(*_encoder(model).digest([t or "" for t in some.column("text").to_pylist()]), strict=True)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_batch(_source(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", caches=True)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import by_batch
+
 KINDS = ["email", "ip", "card", "phone", "secret"]
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -206,7 +208,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> frozenset[tuple[int, int]]:
     """The (kind, pattern) that are spans, from all candidates of docs. At most 2 * 81 * 64 patterns reach the driver."""
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counts = text.mapInArrow(_counted, "kind long, pattern long, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()
+    counts = by_batch(text, _counted, "kind long, pattern long, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()
     return frozenset(k for k, p in classifier({(r.kind, r.pattern): r.n for r in counts}).items() if p >= 0.5)
 
 
@@ -246,7 +248,7 @@ def spans(docs: DataFrame, model: frozenset[tuple[int, int]] | None = None) -> D
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "found"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, found array<struct<kind: string, start: long, end: long, base: boolean>>")
+    return by_batch(source, run, "doc_id long, found array<struct<kind: string, start: long, end: long, base: boolean>>")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             made = [t and redact(t, find(t, model)[1]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_batch(docs, run, docs.schema)
 
 
 def digest(found: list[tuple[int, int, int]]) -> str:

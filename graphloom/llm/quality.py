@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbatch as tb
+from .workers import by_batch
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -90,7 +91,7 @@ def failures(rules: list[tuple[str, str]] = RULES) -> Column:
 
 def ledger(docs: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """doc_id, the measurements and `failed`, the mask of failed rules, of each row of docs."""
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured, "doc_id long, " + ", ".join(f"{c} long" for c in MEASURES))
+    made = by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _measured, "doc_id long, " + ", ".join(f"{c} long" for c in MEASURES))
     return made.withColumn("failed", failures(rules))
 
 
@@ -126,7 +127,7 @@ def accepted(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"measured {c}", T.LongType()) for c in MEASURES)])
     # measurements get names of their own, so columns of docs may have any name
-    made = docs.mapInArrow(run, schema)
+    made = by_batch(docs, run, schema)
     mask = POLICIES[policy]
     bad = [rule for i, (_, rule) in enumerate(RULES) if mask >> i & 1]
     for c in sorted(MEASURES, key=len, reverse=True):

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbatch as tb
+from .workers import by_batch
 
 SIZES = (4, 6)
 BUCKETS = 1 << 18
@@ -192,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Model:
     sample = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     share = counts.get(0, 1) / max(1, counts.get(1, 1))
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")  # 3 * most rows at most
-    made = ordered.mapInArrow(_trained(share), "values binary, bias double, slope double, level double").collect()  # one row of a fixed size
+    made = by_batch(ordered, _trained(share), "values binary, bias double, slope double, level double").collect()  # one row of a fixed size
     if not made:
         return np.zeros(BUCKETS, np.float32), -8.0, 1.0, 0.0
     return np.frombuffer(made[0]["values"], np.float32), made[0]["bias"], made[0]["slope"], made[0]["level"]
@@ -227,7 +228,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for a, b, texts in tb.pieces(batch.column(names.index("text")), PIECE):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score(texts, shared.value))], [*names, "toxicity score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity score", T.DoubleType())]))
+    return by_batch(docs, run, T.StructType([*docs.schema.fields, T.StructField("toxicity score", T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

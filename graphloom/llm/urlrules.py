@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import by_batch
+
 #: (host, path, verdict): the longest that fits decides.
 FIXED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -82,7 +84,7 @@ def mine(pages: DataFrame, labels: DataFrame, most: int = 50_000, support: float
             rows = [[*tokens(u), GOOD if q else BAD] for u, q in zip(batch.column("url").to_pylist(), batch.column("quality").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["items"])
 
-    items = sample.select("url", "quality").mapInArrow(run, T.StructType([T.StructField("items", T.ArrayType(T.StringType()))]))
+    items = by_batch(sample.select("url", "quality"), run, T.StructType([T.StructField("items", T.ArrayType(T.StringType()))]))
     if items.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
@@ -134,4 +136,4 @@ def judge(pages: DataFrame, rules: Rules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 4), strict=True)], ["page_id", "host", "path", "rule", "verdict"])
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    return source.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return by_batch(source, run, "page_id long, host string, path string, rule string, verdict string")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, keep, place
+from .workers import by_batch
 
 #: Bytes of records after which an archive is closed.
 ARCHIVE = 64 << 20
@@ -198,20 +199,20 @@ def write(pages: DataFrame) -> DataFrame:
     several = keep(several.select("sum", "latest"), "payloads").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     dealt = marked.withColumn("part", F.pmod(F.hash("page_id", "url"), F.lit(SALT)))
     told = dealt.join(several, ["sum", "part"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers"))
-    return keep(told.mapInArrow(_write(place(spark, "warc")), "path string, records long"), "archives")
+    return keep(by_batch(told, _write(place(spark, "warc")), "path string, records long"), "archives")
 
 
 def normalised(archives: DataFrame) -> DataFrame:
     """Paths of archives with one member for each record, and an index beside each."""
     spark = archives.sparkSession
     spread = archives.repartition(max(1, archives.count()))
-    return keep(spread.mapInArrow(_normalise(place(spark, "warc-members")), "path string, records long"), "archives")
+    return keep(by_batch(spread, _normalise(place(spark, "warc-members")), "path string, records long"), "archives")
 
 
 def read(archives: DataFrame) -> DataFrame:
     """Every record of normalised archives: page_id, url, payload (of responses), payload_bytes, payload_digest, record_type, refers_to."""
     schema = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return archives.repartition(max(1, archives.count())).mapInArrow(_read, schema)
+    return by_batch(archives.repartition(max(1, archives.count())), _read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

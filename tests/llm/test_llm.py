@@ -274,3 +274,30 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert rows.select("doc_id").distinct().count() <= docs.count() and rows.where(F.size("ids") != F.col("length")).count() == 0
+
+
+def test_worker_memory(spark):
+    """One operator's cache at a time; a batch's bound is set only over Spark's own."""
+    from graphloom.llm import workers
+
+    made = workers.hold("a", list)
+    assert workers.hold("a", dict) is made
+    workers.hold("b", dict)
+    assert list(workers._held) == ["b"]
+    workers.forget()
+    assert not workers._held
+    docs = spark.range(20).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+    spark.conf.unset(workers.BATCH)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    most = max(r.n for r in workers.by_batch(docs.coalesce(1), sizes, "n long").collect())
+    assert most < 2 * workers.MOST
+    spark.conf.set(workers.BATCH, "1m")
+    workers.by_batch(docs, sizes, "n long")
+    assert spark.conf.get(workers.BATCH) in ("1m", "1048576b")
+    spark.conf.unset(workers.BATCH)
