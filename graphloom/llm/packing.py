@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import textbatch as tb
 from .store import keep
 from .workers import by_batch, hold
 
-#: Words that a worker remembers in each of two generations.
-HELD = 300_000
+#: Words, and parts of words, that a worker remembers.
+HELD = 1_000_000
+PARTS_HELD = 250_000
+#: Bytes of text that are encoded at once.
+PIECE = 1 << 20
 #: Parts by which pieces of one length are ranked.
 PARTS = 256
 
@@ -38,7 +42,8 @@ PARTS = 256
 class WordCoder:
     """ids of whole texts by a tokenizers file, remembered word by word.
 
-    Sound where the tokenizer drops white space, splits at it and has no state across
+    Words are told apart by 64-bit hashes, and their ids lie end to end in one array, so a
+    remembered word takes about 30 bytes and no Python object. Sound where the tokenizer drops white space, splits at it and has no state across
     words. Words of plain characters are split by the file's own rule here; every other
     word goes through the library as it is.
     """
@@ -57,22 +62,28 @@ class WordCoder:
         self.bare = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         last = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(last)
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Words seen, by hash, with the first and number of their ids in the pool."""
+        self.known, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def state(self, state: tuple) -> None:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = state
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """ids of each word as little-endian unsigned 32-bit integers."""
+        if len(self.parts) > PARTS_HELD:
+            self.parts.clear()
         plain, odd = {}, []
-        for w in words:
+        for i, w in enumerate(words):
             # '<|' may begin a special token, which the library finds before anything else
             text = w.decode()
             if self.PLAIN.fullmatch(text) and "<|" not in text:
-                plain[w] = self.SPLIT.findall(text.lower())
+                plain[i] = self.SPLIT.findall(text.lower())
             else:
-                odd.append(w)
+                odd.append(i)
         new = list({p for parts in plain.values() for p in parts} - self.parts.keys())
         self.state(self.bare)
         for a in range(0, len(new), 20_000):
@@ -84,25 +95,43 @@ class WordCoder:
             for part, high in zip(some, (4 * cut).tolist(), strict=True):
                 self.parts[part] = raw[low:high]
                 low = high
-        for w, parts in plain.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+        made, get = [b""] * len(words), self.parts.__getitem__
+        for i, parts in plain.items():
+            made[i] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
         self.state(self.whole)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        if len(self.words) > HELD:
-            self.words, self.older = {}, self.words
-        new = set().union(*split) - self.words.keys()
-        again = new & self.older.keys()
-        self.words.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        if len(self.parts) > HELD:
-            self.parts.clear()
-        self.learn(new - again)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i].decode() for i in odd], add_special_tokens=False), strict=True):
+            made[i] = np.array(e.ids, "<u4").tobytes()
+        return made
+
+    def encode(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, end to end, and the n + 1 places where one ends and the next begins."""
+        start, end, of = texts.words()
+        kinds, at, back = np.unique(texts.hashes(start, end), return_index=True, return_inverse=True)
+        place, new = self.places(kinds)
+        if len(self.known) + new.sum() > HELD:
+            self.forget()
+            place, new = self.places(kinds)
+        if new.any():
+            raw = texts.data.tobytes()
+            made = self.learn([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            self.first = np.insert(self.first, place[new], len(self.pool) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place[new], size)
+            self.known = np.insert(self.known, place[new], kinds[new])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), "<u4")])
+            place, _ = self.places(kinds)
+        size = self.size[place][back]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.first[place][back] - stop[:-1], size) + np.arange(stop[-1])]
+        return ids, stop[np.searchsorted(of, np.arange(texts.n + 1))]
+
+    def places(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands or would stand among the known ones, and whether it is new."""
+        place = np.searchsorted(self.known, kinds)
+        new = np.ones(len(kinds), bool)
+        inside = place < len(self.known)
+        new[inside] = self.known[place[inside]] != kinds[inside]
+        return place, new
 
 
 def _cut(path: str, end: int, capacity: int, ids: bool):
@@ -110,12 +139,12 @@ def _cut(path: str, end: int, capacity: int, ids: bool):
         coder = hold(f"words of {path}", lambda: WordCoder(path))
         mark, step = np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            column = batch.column("text").cast(pa.binary())
-            for low in range(0, len(batch), 256):
-                names = batch.column("doc_id").slice(low, 256).to_pylist()
+            for low, high, texts in tb.pieces(batch.column("text"), PIECE):
+                names = batch.column("doc_id").slice(low, high - low).to_pylist()
                 rows = []
-                for name, made in zip(names, coder.encode([t or b"" for t in column.slice(low, 256).to_pylist()]), strict=True):
-                    made += mark
+                found, ends = coder.encode(texts)
+                for name, a, b in zip(names, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    made = found[a:b].tobytes() + mark
                     for piece, at in enumerate(range(0, len(made), step)):
                         part = made[at : at + step]
                         rows.append((name, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if ids else [])))
