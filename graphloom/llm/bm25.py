@@ -35,7 +35,7 @@ from .workers import by_batch
 
 K1, B = 1.2, 0.75
 #: Documents of a segment and of a block; queries of a block.
-SEGMENT, BLOCK, QUERIES = 8192, 64, 2048
+SEGMENT, BLOCK, QUERIES = 4096, 64, 2048
 #: Share of a segment's documents from which a word counts as frequent.
 FREQUENT = 0.02
 
@@ -135,6 +135,16 @@ class Segment:
         return self.ids[doc], score
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each query as one array of hashes and one of idf."""
+    for batch in batches:
+        terms = batch.column("terms")
+        flat, cut = terms.flatten(), np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
+        word, idf = flat.field("word").to_numpy(), flat.field("idf").to_numpy()
+        columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (word, idf)]
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), *columns], ["query_id", "words", "idf"])
+
+
 def _search(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,17 +187,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     words = by_batch(plain(queries), split, "query_id long, word long").distinct().join(stats.where("word is not null"), "word").select("query_id", "word", idf.alias("idf"))
     grouped = words.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("terms"))  # the words of one text
     blocks = max(1, -(-plain(queries).select("doc_id").distinct().count() // QUERIES))
-    dealt = keep(grouped.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    packed = by_batch(grouped, _packed, "query_id long, words binary, idf binary")  # 16 bytes a word on the driver, not objects
+    dealt = keep(packed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
     hits = None
     for block in range(blocks):  # of about QUERIES queries, one after another: bounded on the driver and in each executor
         rows = dealt.where(F.col("block") == block).collect()
-        value = [
-            [r.query_id for r in rows],
-            [np.array([t.word for t in r.terms], np.int64).view(np.uint64).tobytes() for r in rows],
-            [np.array([t.idf for t in r.terms], np.float64).tobytes() for r in rows],
-        ]
+        value = [[r.query_id for r in rows], [bytes(r.words) for r in rows], [bytes(r.idf) for r in rows]]
+        del rows
         shared = spark.sparkContext.broadcast(value)
-        part = keep(by_batch(index.repartition(max(1, spark.sparkContext.defaultParallelism * 2)), _search(shared, k), "query_id long, doc_id long, score double"), "hits")
+        part = keep(by_batch(index, _search(shared, k), "query_id long, doc_id long, score double"), "hits")
         shared.unpersist()
         hits = part if hits is None else hits.union(part)
     own = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
