@@ -4,9 +4,11 @@ A template (a notice or a whole license) is compared with a text by anchoring on
 that are unique to both, keeping the longest increasing subsequence of these anchors, and
 aligning the gaps between two anchors in the same way; where a gap has no unique common
 word, equal words at its ends are matched. Coverage is the share of the template's words
-that found a partner. A text is aligned in windows around the places where the template's
-rare words stand close together, so that a notice inside a long text is found and the cost
-is linear in the text.
+that found a partner. What is aligned are the places, of at most twice the template's
+length, that share enough words with it in order: the length of the longest common
+subsequence bounds any alignment. Places of one template don't overlap; those that end
+first are taken, so a notice that is repeated is found each time. Where patience is misled
+by words that aren't unique, the bound itself is the coverage.
 
 Null and empty texts have no license. Rows that repeat are scanned each. doc_id may be null.
 """
@@ -93,44 +95,98 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(hits: list[int], mask: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Each of the places `hits` with the longest common subsequence of the template and the words up to there.
+
+    mask: for each place, the bits of the template's places with the same word.
+    """
+    full = (1 << size) - 1
+    state = full
+    for i, m in zip(hits, mask, strict=True):
+        both = state & m
+        state = (state + both | state - both) & full
+        yield i, size - state.bit_count()
+
+
+class Template:
+    def __init__(self, own: list[str]):
+        self.words, self.size, self.number = own, len(own), Counter(own)
+        self.bits = {w: sum(1 << i for i, x in enumerate(own) if x == w) for w in self.number}
+        self.back = {w: sum(1 << i for i, x in enumerate(own[::-1]) if x == w) for w in self.number}
+
+    def need(self, least: float) -> int:
+        """The fewest words that cover enough."""
+        return next((n for n in range(1, self.size) if n / self.size >= least), self.size)
+
+    def ahead(self, own: list[str], hits: list[int]) -> Iterator[tuple[int, int]]:
+        return common(hits, [self.bits[own[i]] for i in hits], self.size)
+
+    def behind(self, own: list[str], hits: list[int]) -> Iterator[tuple[int, int]]:
+        return common(hits[::-1], [self.back[own[i]] for i in hits[::-1]], self.size)
+
+    def cores(self, own: list[str], hits: list[int], need: int) -> list[tuple[int, int]]:
+        """First and last of the places in `hits`, by number, of disjoint shortest spans that cover enough, by their ends.
+
+        hits: the places of the template's words.
+        """
+        found, have, shared, low, ready = [], Counter(), 0, 0, 0
+        for k, i in enumerate(hits):
+            w = own[i]
+            have[w] += 1
+            shared += have[w] <= self.number[w]
+            while hits[low] <= i - 2 * self.size:
+                w = own[hits[low]]
+                have[w] -= 1
+                shared -= have[w] < self.number[w]
+                low += 1
+            if shared < need or k < ready:
+                continue
+            *_, (_, most) = self.ahead(own, hits[low : k + 1])
+            if most < need:
+                # a word more adds one at most
+                ready = k + need - most
+                continue
+            first = next(k - n for n, (_, most) in enumerate(self.behind(own, hits[low : k + 1])) if most == need)
+            found.append((first, k))
+            have.clear()
+            shared, low = 0, k + 1
+        return found
+
+    def places(self, own: list[str], least: float) -> list[tuple[float, int, int]]:
+        """Coverage, first and last word of each place that covers enough."""
+        need, hits = self.need(least), [i for i, w in enumerate(own) if w in self.number]
+        cores = self.cores(own, hits, need)
+        found, after = [], 0
+        for at, (first, last) in enumerate(cores):
+            # what the template has besides, up to the next place and back to the one before
+            stop = cores[at + 1][0] if at + 1 < len(cores) else len(hits)
+            stop = min(stop, bisect_left(hits, hits[first] + 2 * self.size))
+            end, _ = max(self.ahead(own, hits[first:stop]), key=lambda x: x[1])
+            last = bisect_left(hits, end)
+            begin, most = max(self.behind(own, hits[max(after, bisect_left(hits, end + 1 - 2 * self.size)) : last + 1]), key=lambda x: x[1])
+            after = last + 1
+            aligned = len(align(self.words, own[begin : end + 1]))
+            found.append(((aligned if aligned >= need else most) / self.size, begin, end))
+        return found
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
-        self.templates = {name: words(t)[0] for name, t in templates.items()}
-        number = Counter(w for t in self.templates.values() for w in set(t))
+        self.templates = {name: Template(words(t)[0]) for name, t in templates.items()}
+        number = Counter(w for t in self.templates.values() for w in t.number)
         # an anchor is a word of few templates, and no small one
-        self.anchors = {name: {w for w in t if number[w] <= 4 and (len(w) > 3 or any(c.isdigit() for c in w))} for name, t in self.templates.items()}
+        self.anchors = {name: {w for w in t.number if number[w] <= 4 and (len(w) > 3 or any(c.isdigit() for c in w))} for name, t in self.templates.items()}
 
     def scan(self, text: str | None, least: float = 0.8) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in code points) of every place that covers enough of a template."""
         if not text or not _CUE.search(text):
             return []
         own, spans = words(text)
-        where: dict[str, list[int]] = {}
-        known = set().union(*self.anchors.values())
-        for i, w in enumerate(own):
-            if w in known:
-                where.setdefault(w, []).append(i)
+        kinds = set(own)
         found = []
         for name, template in self.templates.items():
-            hits = sorted(i for w in self.anchors[name] for i in where.get(w, ()))
-            reach, at = len(template), 0
-            while at < len(hits):
-                # anchors that follow each other within a template's length make one window
-                last = at
-                while last + 1 < len(hits) and hits[last + 1] - hits[last] <= reach and hits[last + 1] - hits[at] <= 2 * reach:
-                    last += 1
-                low, high = max(0, hits[at] - reach), min(len(own), hits[last] + reach + 1)
-                pairs = align(template, own[low:high])
-                share = len(pairs) / len(template)
-                if share >= least:
-                    a, b = low + pairs[0][1], low + pairs[-1][1]
-                    # words far apart are no notice
-                    if b - a + 1 <= 2 * len(template):
-                        found.append((name, share, spans[a][0], spans[b][1]))
-                        while at < len(hits) and hits[at] <= b:
-                            at += 1
-                        continue
-                at = last + 1 if hits[last] - hits[at] <= reach else at + 1
+            if not self.anchors[name].isdisjoint(kinds):
+                found += [(name, share, spans[a][0], spans[b][1]) for share, a, b in template.places(own, least)]
         found.sort(key=lambda f: (f[2], -f[1], f[0]))
         return found
 

@@ -259,6 +259,21 @@ def test_license_alignment():
     assert licenses.align(a, b) == [(0, 0), (1, 1), (4, 3), (5, 4), (6, 5)]
 
 
+def test_license_repeated():
+    """Copies of a notice in a row, at the start, in the middle and at the end of a text."""
+    scanner = licenses.Scanner()
+    prose = "some words of prose that hold nothing at all "
+    for name, notice in licenses.TEMPLATES.items():
+        for before, after in (("", ""), ("", prose * 9), (prose * 9, prose * 9), (prose * 9, "")):
+            for copies in (1, 2, 3, 5):
+                text = before + " ".join([notice] * copies) + " " + after
+                got = [f[1:] for f in scanner.scan(text) if f[0] == name]
+                bare = notice.rstrip(".")
+                assert got == [(1.0, m.start(), m.end()) for m in re.finditer(re.escape(bare), text)][:copies] and len(got) == copies
+    damaged = "Licensed under CC BY-NC. Licensed under CC BY-NC 4.0. under CC BY-NC 4.0."
+    assert [f[1] for f in scanner.scan(damaged) if f[0].startswith("CC")] == [0.8, 1.0, 0.8]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same é"), (7, "http://b/", "same é"), (3, None, "same é"), (4, "http://c/\r\n", None), (5, "u", ""), (6, "v", "a\r\n\r\nContent-Length: 3\r\n\r\n"), (6, "v", "a\r\n\r\nContent-Length: 3\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
