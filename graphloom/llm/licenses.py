@@ -173,9 +173,6 @@ class Template:
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.templates = {name: Template(words(t)[0]) for name, t in templates.items()}
-        number = Counter(w for t in self.templates.values() for w in t.number)
-        # an anchor is a word of few templates, and no small one
-        self.anchors = {name: {w for w in t.number if number[w] <= 4 and (len(w) > 3 or any(c.isdigit() for c in w))} for name, t in self.templates.items()}
 
     def scan(self, text: str | None, least: float = 0.8) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in code points) of every place that covers enough of a template."""
@@ -185,7 +182,8 @@ class Scanner:
         kinds = set(own)
         found = []
         for name, template in self.templates.items():
-            if not self.anchors[name].isdisjoint(kinds):
+            # no place can share more words than the whole text does
+            if sum(n for w, n in template.number.items() if w in kinds) >= template.need(least):
                 found += [(name, share, spans[a][0], spans[b][1]) for share, a, b in template.places(own, least)]
         found.sort(key=lambda f: (f[2], -f[1], f[0]))
         return found

@@ -274,6 +274,46 @@ def test_license_repeated():
     assert [f[1] for f in scanner.scan(damaged) if f[0].startswith("CC")] == [0.8, 1.0, 0.8]
 
 
+def test_license_with_a_word_changed():
+    scanner = licenses.Scanner()
+    for name, notice in licenses.TEMPLATES.items():
+        own = notice.split()
+        size = len(licenses.words(notice)[0])
+        for i in range(len(own)):
+            text = " ".join(["license", "zebra " * 40, *own[:i], "qqq", *own[i + 1 :], "zebra " * 40])
+            lost = len(licenses.words(own[i])[0])
+            if (size - lost) / size >= 0.8:
+                assert [f[1] for f in scanner.scan(text) if f[0] == name] == [(size - lost) / size], (name, own[i])
+    assert [f[0] for f in scanner.scan("This project is licensed under the MIT License.")] == ["MIT-notice"]
+
+
+def test_license_places_equal_brute_force():
+    """As many disjoint places as there are, of at most twice the template's length."""
+    random.seed(5)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for _ in range(400):
+        template = [random.choice("abcde") for _ in range(random.randint(2, 7))]
+        own = [random.choice("abcdefg") for _ in range(random.randint(0, 40))]
+        least = random.choice([0.5, 0.8, 1.0])
+        want, low = 0, 0
+        for end in range(1, len(own) + 1):
+            start = max(low, end - 2 * len(template))
+            if lcs(template, own[start:end]) / len(template) >= least:
+                want, low = want + 1, end
+        got = licenses.Template(template).places(own, least)
+        assert len(got) == want
+        for (share, a, b), (_, c, _) in zip(got, [*got[1:], (0, len(own), 0)][: len(got)], strict=True):
+            assert least <= share <= lcs(template, own[a : b + 1]) / len(template) and b < c and b - a < 2 * len(template)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same é"), (7, "http://b/", "same é"), (3, None, "same é"), (4, "http://c/\r\n", None), (5, "u", ""), (6, "v", "a\r\n\r\nContent-Length: 3\r\n\r\n"), (6, "v", "a\r\n\r\nContent-Length: 3\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
