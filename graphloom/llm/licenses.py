@@ -40,8 +40,6 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-#: A text without any of these has no license that a template could cover.
-_CUE = re.compile(r"licen[cs]|permission|redistribution|copyright", re.I)
 
 
 def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -176,15 +174,15 @@ class Scanner:
 
     def scan(self, text: str | None, least: float = 0.8) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in code points) of every place that covers enough of a template."""
-        if not text or not _CUE.search(text):
+        if not text:
+            return []
+        kinds = {w.lower() for w in set(_WORD.findall(text))}
+        # no place can share more words than the whole text does
+        some = {name: t for name, t in self.templates.items() if sum(n for w, n in t.number.items() if w in kinds) >= t.need(least)}
+        if not some:
             return []
         own, spans = words(text)
-        kinds = set(own)
-        found = []
-        for name, template in self.templates.items():
-            # no place can share more words than the whole text does
-            if sum(n for w, n in template.number.items() if w in kinds) >= template.need(least):
-                found += [(name, share, spans[a][0], spans[b][1]) for share, a, b in template.places(own, least)]
+        found = [(name, share, spans[a][0], spans[b][1]) for name, t in some.items() for share, a, b in t.places(own, least)]
         found.sort(key=lambda f: (f[2], -f[1], f[0]))
         return found
 

@@ -287,6 +287,15 @@ def test_license_with_a_word_changed():
     assert [f[0] for f in scanner.scan("This project is licensed under the MIT License.")] == ["MIT-notice"]
 
 
+def test_license_without_cue_words():
+    scanner = licenses.Scanner()
+    assert [f[:2] for f in scanner.scan("Distributed under CC BY-NC 4.0.")] == [("CC-BY-NC-4.0-notice", 0.8)]
+    assert [f[:2] for f in scanner.scan("Released under the MIT terms.")] == [("MIT-notice", 0.8)]
+    for name in ("MIT", "ISC", "BSD-2-Clause", "GPL-3.0"):
+        text = re.sub(r"licen[cs]\w*|permission|redistribution\w*|copyright|sublicense", "qqq", licenses.TEMPLATES[name], flags=re.I)
+        assert name in [f[0] for f in scanner.scan(text)], name
+
+
 def test_license_places_equal_brute_force():
     """As many disjoint places as there are, of at most twice the template's length."""
     random.seed(5)
