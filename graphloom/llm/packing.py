@@ -198,23 +198,59 @@ def fill(room: int, sizes: list[int], left: dict[int, int], effort: int = 400) -
         low = sizes[-1] if sizes else 0
         while at < len(sizes) and waste and nodes < effort:
             s = sizes[at]
-            # a branch whose longest piece leaves room for nothing shorter is settled at once
-            if room - s >= waste and room - s < low:
-                return
+            at += 1
             if stack.count(s) < left[s]:
                 nodes += 1
                 stack.append(s)
-                search(at, room - s)
+                search(at - 1, room - s)
                 stack.pop()
-            at += 1
+                if room - s < low:
+                    # nothing fits beside s: it dominates the shorter pieces of which that is true, too
+                    at = bisect.bisect_left(negative, low - room)
 
     if waste:
         search(0, room)
     return tuple(best)
 
 
+def best_fit(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int, ...], int]]:
+    """The same as `plan`, by best fit decreasing."""
+    import bisect
+
+    rooms: list[int] = []
+    held: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room, fillings and how many sequences have them
+
+    def put(room: int, chosen: tuple[int, ...], times: int) -> None:
+        if room not in held:
+            bisect.insort(rooms, room)
+        held.setdefault(room, []).append((chosen, times))
+
+    for s in sorted((s for s in counts if counts[s]), reverse=True):
+        n = counts[s]
+        while n:
+            at = bisect.bisect_left(rooms, s)
+            if at == len(rooms):
+                put(capacity, (), -(-n // (capacity // s)))
+                continue
+            room = rooms[at]
+            # the fullest sequence that has room for one takes all it can
+            chosen, times = held[room].pop()
+            if not held[room]:
+                del held[room], rooms[at]
+            each = min(room // s, n)
+            some = min(times, n // each)
+            put(room - each * s, (*chosen, *[s] * each), some)
+            if times > some:
+                put(room, chosen, times - some)
+            n -= some * each
+    return [x for room in rooms for x in held[room]]
+
+
 def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how many sequences use each, for pieces of the given lengths."""
+    """Fillings and how many sequences use each, for pieces of the given lengths.
+
+    A best-fit packing of the whole is the incumbent: it is kept where it needs fewer sequences.
+    """
     left = {s: n for s, n in counts.items() if n}
     sizes = sorted(left, reverse=True)
     made = []
@@ -232,7 +268,7 @@ def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int,
             left[s] -= n * times
         made.append((chosen, times))
         sizes = [s for s in sizes if left[s]]
-    return made
+    return min(made, best_fit(counts, capacity), key=lambda m: sum(times for _, times in m))
 
 
 def _assign(made: list[tuple[tuple[int, ...], int]]):

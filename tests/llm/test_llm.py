@@ -248,6 +248,57 @@ def test_bm25_equals_brute_force(spark, documents):
         assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in want if s], abs=0.01)
 
 
+def test_packing_plan_against_brute_force():
+    def fewest(pieces, capacity):
+        best = len(pieces)
+
+        def go(at, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if at == len(pieces):
+                best = len(rooms)
+                return
+            for r in {*rooms}:
+                if r >= pieces[at]:
+                    rest = [*rooms]
+                    rest.remove(r)
+                    go(at + 1, [*rest, r - pieces[at]])
+            go(at + 1, [*rooms, capacity - pieces[at]])
+
+        go(0, [])
+        return best
+
+    pieces = [2296, 1600, 1248, 1248, 1000, 800]
+    assert sum(n for _, n in packing.plan(collections.Counter(pieces))) == fewest(pieces, 4096) == 2
+    random.seed(3)
+    for _ in range(300):
+        capacity = random.randint(10, 40)
+        pieces = sorted((random.randint(1, capacity) for _ in range(random.randint(1, 9))), reverse=True)
+        counts, rooms = collections.Counter(pieces), []
+        for p in pieces:
+            room = min((r for r in rooms if r >= p), default=None)
+            if room is None:
+                rooms.append(capacity - p)
+            else:
+                rooms[rooms.index(room)] = room - p
+        for made in (packing.plan(counts, capacity), packing.best_fit(counts, capacity)):
+            used = collections.Counter()
+            for chosen, n in made:
+                assert sum(chosen) <= capacity
+                for s in chosen:
+                    used[s] += n
+            assert used == counts
+            assert fewest(pieces, capacity) <= sum(n for _, n in made) <= len(rooms)
+        assert sum(n for _, n in packing.best_fit(counts, capacity)) == len(rooms)
+        # the least waste in a room
+        sums = {0}
+        for p in pieces:
+            sums |= {x + p for x in sums}
+        chosen = packing.fill(capacity, sorted(counts, reverse=True), counts, 10**6)
+        assert sum(chosen) == max(x for x in sums if x <= capacity)
+
+
 def test_license_alignment():
     scanner = licenses.Scanner()
     assert [f[0] for f in scanner.scan("word " * 50 + licenses.TEMPLATES["MIT-notice"] + " more" * 40)] == ["MIT-notice"]
