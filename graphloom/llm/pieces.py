@@ -114,6 +114,9 @@ class Encoder:
         self.split = re.compile((f"{MARK}*(?:\n|[^{MARK}\n]+)" if self.by_line else f"{MARK}*[^{MARK}]+") + f"(?:{MARK}+\\Z)?|{MARK}+")
         #: Bytes of normalised text that a piece stands for.
         self.width = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
+        self.marked = MARK in self.pieces
+        self.marks = np.array([p.count(MARK) for p in self.pieces])
+        self.strange = np.array([k == UNKNOWN for k in self.kinds])
         self.young: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
@@ -164,11 +167,25 @@ class Encoder:
         asked = ["\n" + p if b else p[1:] for p, b in zip(parts, bare, strict=True)]
         made = [ids[2 * b :] for ids, b in zip(self.library.encode(asked, num_threads=1), bare, strict=True)]
         # and its decoding drops the space of a leading mark, which stays inside a text
+        width, at = self.widths(parts, made, bare), 0
         for part, ids, text, b in zip(parts, made, self.library.decode(made), bare, strict=True):
-            self.young[part] = (str(ids)[1:-1].replace(" ", ""), len(ids), text if b else " " + text)
+            self.young[part] = (str(ids)[1:-1].replace(" ", ""), len(ids), text if b else " " + text, width[at : at + 4 * len(ids)])
+            at += 4 * len(ids)
+
+    def widths(self, parts: list[str], made: list[list[int]], bare: list[bool]) -> bytes:
+        """Bytes of source, where a mark is a space, that each id of each part stands for, as 32-bit integers."""
+        flat = np.array([i for ids in made for i in ids], np.int64)
+        width, at = self.width[flat] - (len(MARK.encode()) - 1) * self.marks[flat], 0
+        if self.strange[flat].any():  # an unknown piece stands for the characters up to the next piece
+            for part, ids, b in zip(parts, made, bare, strict=True):
+                if self.strange[ids].any():
+                    known = self.library.encode("\n" + part if b else part[1:], out_type=str)[2 * b :]
+                    width[at : at + len(ids)] = [1 if self.kinds[i] == BYTE else len(p.replace(MARK, " ").encode()) for i, p in zip(ids, known, strict=True)]
+                at += len(ids)
+        return width.astype("<i4").tobytes()
 
     def parts(self, texts: list[str]) -> list[list[tuple]]:
-        """What is known of each part of each text: ids joined by commas, their number, the decoded text."""
+        """What is known of each part of each text: ids joined by commas, their number, the decoded text, the ids' widths in the source."""
         split = [self.split.findall(self.normalise(t, False)[0]) for t in texts]
         if len(self.young) > HELD:
             self.young, self.older = {}, self.young
@@ -196,14 +213,34 @@ class Encoder:
         end = np.cumsum(width)
         return ids, source[end - width], source[end]
 
-    def digest(self, texts: list[str]) -> list[tuple[int, str, str]]:
+    def aligned(self, texts: list[str]) -> list[tuple[int, str, str, str]]:
+        """`digest`, and the sha256 of the places in the text's bytes where pieces begin and the last one ends.
+
+        Each other piece ends where the next one begins. The places are little-endian 32-bit integers.
+        """
+        parts = self.parts(texts) if self.by_word and self.simple else None
+        sums = []
+        for at, text in enumerate(texts):
+            # a mark of the text itself is no space
+            if parts is None or MARK in text or not self.marked:
+                _, begin, end = self.spans(text)
+                edges = np.append(begin, end[-1:]).astype("<i4")
+            else:
+                width = np.frombuffer(b"".join([k[3] for k in parts[at]]), "<i4")
+                edges = np.zeros(len(width) + 1 if len(width) else 0, "<i4")
+                np.cumsum(width, out=edges[1:])
+                edges[1:] -= self.prefix  # the first mark is of no byte
+            sums.append(hashlib.sha256(edges).hexdigest())
+        return [(*row, x) for row, x in zip(self.digest(texts, parts), sums, strict=True)]
+
+    def digest(self, texts: list[str], parts: list[list[tuple]] | None = None) -> list[tuple[int, str, str]]:
         """Number of ids, and the sha256 of the ids joined by commas and of the decoded text."""
         out = []
         if not (self.by_word and self.simple):
             for ids in self.library.encode(texts, num_threads=1):
                 out.append((len(ids), ",".join(map(str, ids)), self.library.decode(ids)))
         else:
-            for known in self.parts(texts):
+            for known in self.parts(texts) if parts is None else parts:
                 text = "".join([k[2] for k in known])
                 out.append((sum([k[1] for k in known]), ",".join([k[0] for k in known]), text[1:] if text.startswith(" ") else text))
         return [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, ids, text in out]
@@ -233,13 +270,13 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256, without keeping the ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256, without keeping the ids and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 256):
                 some = batch.slice(a, 256)
-                rows = zip(*_encoder(model).digest([t or "" for t in some.column("text").to_pylist()]), strict=True)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows = zip(*_encoder(model).aligned([t or "" for t in some.column("text").to_pylist()]), strict=True)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
-    return by_batch(_source(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", caches=True)
+    return by_batch(_source(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", caches=True)

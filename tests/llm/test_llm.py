@@ -154,6 +154,27 @@ def test_pieces():
         assert same == ids and (not ids or (begin[0] == 0 and end[-1] == len(t.encode()) and (begin[1:] == end[:-1]).all()))
 
 
+def test_pieces_query_projects_every_text(spark, documents, odd):
+    own = pieces.Encoder(queries.tokenizer("piece_bpe_32k.model"))
+
+    def want(text):
+        _, begin, end = own.spans(text)
+        assert (begin[1:] == end[:-1]).all()
+        return hashlib.sha256(np.append(begin, end[-1:]).astype("<u4").tobytes()).hexdigest()
+
+    for df in (documents, odd):
+        known = df.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        texts = collections.defaultdict(set)
+        for r in known.collect():
+            texts[r.doc_id].add(want(r.text or ""))
+        got = collections.defaultdict(set)
+        for r in pieces.digests(known, queries.tokenizer("piece_bpe_32k.model")).collect():
+            got[r.doc_id].add(r.spans_sha256)
+        assert got == texts
+    strange = ["", " ", "a", "  a  b ", "▁x▁", "a ▁ b", "é \n日本 ", "🎉 é\0", "\n\n a\n", "a  ", " \n \U0010ffff x"]
+    assert [x[3] for x in own.aligned(strange)] == [want(t) for t in strange]
+
+
 def test_character_map():
     # a trie of one entry: "a" -> "bc"
     units = [0] * 256
