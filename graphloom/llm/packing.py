@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textbatch as tb
+from .memory import Memory
 from .store import keep
 from .workers import by_batch, hold
 
@@ -39,11 +40,18 @@ PIECE = 1 << 20
 PARTS = 256
 
 
+#: Bytes that keep a word whole, and kinds of the others: letters 1, digits 2, signs 0.
+_ODD = np.zeros(256, np.int8)
+_ODD[[*b"'<", *range(128, 256)]] = 1
+_KIND = np.zeros(256, np.int8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+
+
 class WordCoder:
     """ids of whole texts by a tokenizers file, remembered word by word.
 
-    Words are told apart by 64-bit hashes, and their ids lie end to end in one array, so a
-    remembered word takes about 30 bytes and no Python object. Sound where the tokenizer drops white space, splits at it and has no state across
+    Sound where the tokenizer drops white space, splits at it and has no state across
     words. Words of plain characters are split by the file's own rule here; every other
     word goes through the library as it is.
     """
@@ -63,76 +71,88 @@ class WordCoder:
         last = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(last)
         self.parts: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Words seen, by hash, with the first and number of their ids in the pool."""
-        self.known, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.words = Memory(["<u4"], self.learn, HELD)
 
     def state(self, state: tuple) -> None:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = state
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        """ids of each word as little-endian unsigned 32-bit integers."""
+    def learn(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """ids of all words, and the number of ids of each."""
         if len(self.parts) > PARTS_HELD:
             self.parts.clear()
-        plain, odd = {}, []
+        single, plain, odd = [], {}, []
         for i, w in enumerate(words):
+            if w.islower() and w.isalpha():  # bytes: ASCII letters alone
+                single.append(i)
+                continue
             # '<|' may begin a special token, which the library finds before anything else
             text = w.decode()
             if self.PLAIN.fullmatch(text) and "<|" not in text:
                 plain[i] = self.SPLIT.findall(text.lower())
             else:
                 odd.append(i)
-        new = list({p for parts in plain.values() for p in parts} - self.parts.keys())
+        made = [b""] * len(words)
         self.state(self.bare)
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            assert len(cut) == len(some)
-            raw, low = ids.tobytes(), 0
-            for part, high in zip(some, (4 * cut).tolist(), strict=True):
-                self.parts[part] = raw[low:high]
-                low = high
-        made, get = [b""] * len(words), self.parts.__getitem__
+        for i, ids in zip(single, self.ids([words[i].decode() for i in single]), strict=True):
+            made[i] = ids
+        new = list({p for parts in plain.values() for p in parts} - self.parts.keys())
+        self.parts.update(zip(new, self.ids(new), strict=True))
+        get = self.parts.__getitem__
         for i, parts in plain.items():
             made[i] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
         self.state(self.whole)
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i].decode() for i in odd], add_special_tokens=False), strict=True):
             made[i] = np.array(e.ids, "<u4").tobytes()
-        return made
+        return [(np.frombuffer(b"".join(made), "<u4"), np.fromiter(map(len, made), np.int64, len(made)) // 4)]
+
+    def ids(self, parts: list[str]) -> Iterator[bytes]:
+        """ids of each part, in the state of bare splitting."""
+        for a in range(0, len(parts), 20_000):
+            some = parts[a : a + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            assert len(cut) == len(some)
+            raw, low = ids.tobytes(), 0
+            for high in (4 * cut).tolist():
+                yield raw[low:high]
+                low = high
+
+    @staticmethod
+    def units(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, tb.Texts]:
+        """Starts, ends and texts of what is encoded on its own, and the texts in which it stands.
+
+        A word of ASCII letters, digits and signs is lower-cased and split by the file's rule
+        here, where runs of letters or signs, and single digits, are the parts. A word with
+        an apostrophe (contractions), with `<` (special tokens) or with other letters is one unit.
+        """
+        start, end, of = texts.words()
+        if not len(start):
+            return start, end, of, texts
+        data, n = texts.data, len(texts.data)
+        odd = np.zeros(n + 1, np.int32)
+        np.cumsum(_ODD[data], out=odd[1:])
+        edge = np.zeros(n + 1, np.int8)
+        plain = odd[end] == odd[start]
+        edge[start[plain]] += 1
+        edge[end[plain]] -= 1
+        inside = np.cumsum(edge[:n], dtype=np.int8).astype(bool)
+        kind = _KIND[data]
+        first = inside.copy()
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        first[start] = True
+        begin = np.flatnonzero(first)
+        word = np.searchsorted(start, begin, "right") - 1
+        stop = end[word]
+        stop[:-1] = np.minimum(stop[:-1], begin[1:])
+        return begin, stop, of[word], tb.Texts(np.where(inside, tb.LOWER[data], data), texts.at)
 
     def encode(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, end to end, and the n + 1 places where one ends and the next begins."""
-        start, end, of = texts.words()
-        kinds, at, back = np.unique(texts.hashes(start, end), return_index=True, return_inverse=True)
-        place, new = self.places(kinds)
-        if len(self.known) + new.sum() > HELD:
-            self.forget()
-            place, new = self.places(kinds)
-        if new.any():
-            raw = texts.data.tobytes()
-            made = self.learn([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            self.first = np.insert(self.first, place[new], len(self.pool) + np.cumsum(size) - size)
-            self.size = np.insert(self.size, place[new], size)
-            self.known = np.insert(self.known, place[new], kinds[new])
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(made), "<u4")])
-            place, _ = self.places(kinds)
-        size = self.size[place][back]
+        start, end, of, texts = self.units(texts)
+        ((ids, size),) = self.words.look(texts, start, end)
         stop = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.first[place][back] - stop[:-1], size) + np.arange(stop[-1])]
         return ids, stop[np.searchsorted(of, np.arange(texts.n + 1))]
 
-    def places(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash stands or would stand among the known ones, and whether it is new."""
-        place = np.searchsorted(self.known, kinds)
-        new = np.ones(len(kinds), bool)
-        inside = place < len(self.known)
-        new[inside] = self.known[place[inside]] != kinds[inside]
-        return place, new
-
 
 def _cut(path: str, end: int, capacity: int, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

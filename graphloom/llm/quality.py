@@ -44,31 +44,31 @@ _SYMBOL[list(b"#*$%&|<>")] = 1
 _HEAD = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
 
 
-def _repeats(key: np.ndarray) -> np.ndarray:
-    """How often each key occurs."""
-    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
-    return count[place]
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same for equal pairs alone."""
+    _, number = np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)
+    return number
 
 
 def measure(texts: tb.Texts) -> dict[str, np.ndarray]:
     data = texts.data
     start, end, of = texts.words()
     out = {"n_words": np.bincount(of, minlength=texts.n), "word_chars": texts.sums(_HEAD[data] & ~tb.SPACE[data]), "n_symbols": texts.sums(_SYMBOL[data])}
-    salt = tb.mix(np.arange(texts.n, dtype=np.uint64) * tb.GAMMA)
-    word = texts.hashes(start, end)
-
     first, last = texts.runs(data != 10)
     line_of = texts.of(first)
     filled = np.searchsorted(start, last) > np.searchsorted(start, first)
     first, last, line_of = first[filled], last[filled], line_of[filled]
     out["n_lines"] = np.bincount(line_of, minlength=texts.n)
-    _, kept = np.unique(texts.hashes(first, last) ^ salt[line_of], return_index=True)
+    _, line = texts.kinds(first, last)
+    _, kept = np.unique(line * texts.n + line_of, return_index=True)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(line_of[kept], minlength=texts.n)
 
-    covered = np.zeros(len(word), bool)
-    if len(word) >= 3:
+    covered = np.zeros(len(of), bool)
+    if len(of) >= 3:
+        _, word = texts.kinds(start, end)
         at = np.flatnonzero(of[2:] == of[:-2])
-        at = at[_repeats(tb.chain(word, at, 3) ^ salt[of[at]]) > 1]
+        three = _joined(_joined(_joined(word[at], word[at + 1]), word[at + 2]), of[at])
+        at = at[np.bincount(three)[three] > 1]
         for j in range(3):
             covered[at + j] = True
     out["n_repeat_words"] = np.bincount(of[covered], minlength=texts.n)
@@ -115,21 +115,22 @@ def ablations(made: DataFrame, policy: str = "v1", rules: list[tuple[str, str]]
     return each.groupBy("rule").agg(total(hit).alias("n_failed"), total(hit & (rest == 0)).alias("n_only"), total(rest == 0).alias("n_kept_without"))
 
 
-def accepted(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs that a policy keeps, with the columns of docs: one pass, no shuffle."""
+def accepted(docs: DataFrame, policy: str = "v1", rules: list[tuple[str, str]] = RULES) -> DataFrame:
+    """The rows of docs that a policy keeps, with the columns of docs: one pass, no shuffle.
+
+    The ledger's mask stands beside each row until the policy has read it. Columns of docs
+    may have any name; more than one `text` is an error.
+    """
     names = docs.columns
+    text = names.index("text")
+    place = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in tb.pieces(batch.column(names.index("text"))):
+            for a, b, texts in tb.pieces(batch.column(text)):
                 found = measure(texts)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(found[c], pa.int64()) for c in MEASURES)], [*names, *(f"measured {c}" for c in MEASURES)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array(found[c], pa.int64()) for c in MEASURES)], [*place, *MEASURES])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"measured {c}", T.LongType()) for c in MEASURES)])
-    # measurements get names of their own, so columns of docs may have any name
-    made = by_batch(docs, run, schema)
-    mask = POLICIES[policy]
-    bad = [rule for i, (_, rule) in enumerate(RULES) if mask >> i & 1]
-    for c in sorted(MEASURES, key=len, reverse=True):
-        bad = [rule.replace(c, f"`measured {c}`") for rule in bad]
-    return made.where("not (" + " or ".join(f"({r})" for r in bad) + ")").select(*[made[c] for c in names])
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(place, docs.schema.fields, strict=True)), *(T.StructField(c, T.LongType()) for c in MEASURES)])
+    made = by_batch(docs.toDF(*place), run, schema).withColumn("failed", failures(rules))
+    return made.where(passes(policy)).select(*place).toDF(*names)

@@ -8,6 +8,8 @@ UTF-8 those bytes never occur inside another character.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_BACK = pow(_STEP, -1, 1 << 64)
+#: Longer byte ranges are hashed by blake2b.
+LONG = 1024
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,17 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-TABLE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GAMMA)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, _BACK)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def new_key() -> int:
+    """A secret for the hashes of one job, drawn on the driver: no text can be made to collide under it."""
+    return secrets.randbits(64)
 
 
 class Texts:
@@ -71,14 +66,52 @@ class Texts:
         start, end = self.runs(~SPACE[self.data])
         return start, end, self.of(start)
 
-    def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of byte ranges; they depend on the bytes alone."""
-        n = len(self.data)
-        up, down = _power(n + 1)
-        value = np.empty(n + 1, np.uint64)
-        value[0] = 0
-        np.cumsum((TABLE[LOWER] if lower else TABLE)[self.data] * up[:n], dtype=np.uint64, out=value[1:])
-        return mix((value[end] - value[start]) * down[start] + (end - start).astype(np.uint64) * GAMMA)
+    def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False, key: int = 0) -> np.ndarray:
+        """64-bit hashes of byte ranges under a key; they depend on the bytes and the key alone.
+
+        Eight bytes at a time go through `mix`, which isn't linear, so ranges that collide
+        whatever the key can't be built as they can for a polynomial.
+        """
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = LOWER[self.data] if lower else self.data
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        size, key = end - start, np.uint64(key)
+        value = mix(size.astype(np.uint64) * GAMMA + key)
+        value = mix(value ^ (eight[start] & _TAIL[np.minimum(size, 8)]))
+        long = size > LONG
+        at, done = np.flatnonzero((size > 8) & ~long), 8
+        while len(at):
+            left = size[at] - done
+            value[at] = mix((value[at] + key) ^ (eight[start[at] + done] & _TAIL[np.minimum(left, 8)]))
+            at = at[left > 8]
+            done += 8
+        if long.any():
+            secret = key.tobytes()
+            for i in np.flatnonzero(long).tolist():
+                value[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8, key=secret).digest(), "little")
+        return value
+
+    def kinds(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of byte ranges, one of each kind and the kind of each range; equal bytes alone share a kind."""
+        _, first, kind = np.unique(self.hashes(start, end), return_index=True, return_inverse=True)
+        if not self.same(start, end, start[first][kind], end[first][kind]):
+            number: dict[bytes, int] = {}
+            kind = np.array([number.setdefault(self.data[a:b].tobytes(), len(number)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+            _, first = np.unique(kind, return_index=True)
+        return first, kind
+
+    def same(self, start: np.ndarray, end: np.ndarray, other: np.ndarray, stop: np.ndarray) -> bool:
+        """Whether each range has the bytes of its partner."""
+        size = end - start
+        if (size != stop - other).any():
+            return False
+        step = max(1, PIECE // max(1, int(size.max(initial=1))))  # ranges at once, for bounded memory
+        step = max(step, len(size) // 64)
+        for a in range(0, len(size), step):
+            some = size[a : a + step]
+            if (self.data[spread(start[a : a + step], some)] != self.data[spread(other[a : a + step], some)]).any():
+                return False
+        return True
 
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Sums of a value of each byte by text."""
@@ -109,6 +142,25 @@ def pieces(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int, Text
         row = stop
 
 
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... size[0] places, then those of first[1], and so on."""
+    stop = np.cumsum(size)
+    return np.repeat(first - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def distinct(value: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first places of the distinct (value, of), in no order, and how often each occurs."""
+    key = value ^ mix(of.astype(np.uint64) * GAMMA)  # for one `of` a bijection of the value
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    if (of[order[1:]] != of[order[:-1]])[~new[1:]].any():  # two pairs with one key
+        order = np.lexsort((value, of))
+        new[1:] = (value[order[1:]] != value[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+    edge = np.flatnonzero(new)
+    return order[edge], np.diff(np.append(edge, len(order)))
+
+
 def shingles(words: np.ndarray, of: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingles by text, as (hash, text) ordered by text.
 
@@ -127,8 +179,7 @@ def shingles(words: np.ndarray, of: np.ndarray, n: int, k: int) -> tuple[np.ndar
     made.append(chain(words, start, k))
     owner.append(of[start])
     value, text = np.concatenate(made), np.concatenate(owner)
-    # one sort for all texts: within a text the key is a bijection of the hash
-    _, at = np.unique(value ^ mix(text.astype(np.uint64) * GAMMA), return_index=True)
+    at, _ = distinct(value, text)
     at = at[np.argsort(text[at], kind="stable")]
     return value[at], text[at]
 
