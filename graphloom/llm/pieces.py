@@ -7,10 +7,14 @@ written the byte of the source that it comes from is recorded. So each piece, wh
 in normalised bytes is known, projects to a span of original bytes.
 
 No piece of a usual vocabulary continues past a word's end, so the merges of one word can't
-depend on its neighbours; words are then encoded by the library once and remembered. Models
-for which that doesn't hold have each text encoded as a whole.
-
-A null text is empty; it has no pieces. doc_id may be null; rows that repeat are encoded each.
+depend on its neighbours. Where besides the normaliser only escapes spaces, words are encoded
+by the library once and remembered, with the source bytes of each of their pieces, and texts
+are put together with numpy; a byte of such a text keeps its place, so the alignment is the
+running sum of those bytes. Texts of other models, and texts that hold the mark itself, are
+encoded as a whole and aligned character by character.
+
+A null or empty text has no pieces. doc_id may be null; rows that repeat are encoded each;
+other columns are not read. A text is one row in memory, with some 30 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -25,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbatch as tb
+from .memory import Memory
 from .workers import by_batch, hold
 
-#: Words that a worker remembers in each of two generations.
-HELD = 250_000
+#: Words, with the spaces before them, that a worker remembers.
+HELD = 750_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -111,19 +117,15 @@ class Encoder:
         self.by_word = self.escape and not self.trim and self.prefix and not any(re.search(f"[^{MARK}]{MARK}", p) for p in plain)
         self.by_line = self.by_word and not any("\n" in p for p in plain)
         self.simple = not self.map.units and not self.user and not self.trim and self.escape
-        self.split = re.compile((f"{MARK}*(?:\n|[^{MARK}\n]+)" if self.by_line else f"{MARK}*[^{MARK}]+") + f"(?:{MARK}+\\Z)?|{MARK}+")
         #: Bytes of normalised text that a piece stands for.
         self.width = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
-        self.marked = MARK in self.pieces
+        self.fast = self.by_word and self.simple and MARK in self.pieces
         self.marks = np.array([p.count(MARK) for p in self.pieces])
         self.strange = np.array([k == UNKNOWN for k in self.kinds])
-        self.young: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.words = Memory(["u1", "<i4", "u1", "u1"], self.learn, HELD)
 
-    def normalise(self, text: str, align: bool = True) -> tuple[str, np.ndarray | None]:
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each byte of it, and its end, the offset of the source byte it comes from."""
-        if self.simple and not align:
-            return (MARK if self.prefix and text else "") + text.replace(" ", MARK), None
         data, out, source = text.encode(), bytearray(), []
         mark = MARK.encode() if self.escape else b" "
 
@@ -160,17 +162,27 @@ class Encoder:
                 del out[-len(mark) :], source[-len(mark) :]
         return out.decode(errors="replace"), np.array([*source, len(data)], np.int64)
 
-    def learn(self, parts: list[str]) -> None:
-        """ids of parts of normalised texts, by the library."""
+    def learn(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of words with the spaces before them: ids as text with a comma after each, source bytes of
+        each id, whether they decode to the word itself, and what they decode to otherwise."""
+        own = [w.decode() for w in words]
+        parts = [w.replace(" ", MARK) for w in own]
         # the library puts a mark before what it is given; a part without one is asked for after a line end
         bare = [p[0] != MARK for p in parts]
         asked = ["\n" + p if b else p[1:] for p, b in zip(parts, bare, strict=True)]
         made = [ids[2 * b :] for ids, b in zip(self.library.encode(asked, num_threads=1), bare, strict=True)]
         # and its decoding drops the space of a leading mark, which stays inside a text
-        width, at = self.widths(parts, made, bare), 0
-        for part, ids, text, b in zip(parts, made, self.library.decode(made), bare, strict=True):
-            self.young[part] = (str(ids)[1:-1].replace(" ", ""), len(ids), text if b else " " + text, width[at : at + 4 * len(ids)])
-            at += 4 * len(ids)
+        decoded = [t if b else " " + t for t, b in zip(self.library.decode(made), bare, strict=True)]
+        spelled = [(str(ids)[1:-1].replace(" ", "") + ",").encode() if ids else b"" for ids in made]
+        other = [b"" if t == w else t.encode() for t, w in zip(decoded, own, strict=True)]
+        count = lambda lists: np.fromiter(map(len, lists), np.int64, len(lists))
+        same = np.array([t == w for t, w in zip(decoded, own, strict=True)], np.uint8)
+        return [
+            (np.frombuffer(b"".join(spelled), np.uint8), count(spelled)),
+            (np.frombuffer(self.widths(parts, made, bare), "<i4"), count(made)),
+            (same, np.ones(len(words), np.int64)),
+            (np.frombuffer(b"".join(other), np.uint8), count(other)),
+        ]
 
     def widths(self, parts: list[str], made: list[list[int]], bare: list[bool]) -> bytes:
         """Bytes of source, where a mark is a space, that each id of each part stands for, as 32-bit integers."""
@@ -184,28 +196,73 @@ class Encoder:
                 at += len(ids)
         return width.astype("<i4").tobytes()
 
-    def parts(self, texts: list[str]) -> list[list[tuple]]:
-        """What is known of each part of each text: ids joined by commas, their number, the decoded text, the ids' widths in the source."""
-        split = [self.split.findall(self.normalise(t, False)[0]) for t in texts]
-        if len(self.young) > HELD:
-            self.young, self.older = {}, self.young
-        new = set().union(*split) - self.young.keys()
-        again = new & self.older.keys()
-        self.young.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        if new := list(new - again):
-            self.learn(new)
-        get = self.young.__getitem__
-        return [[*map(get, p)] for p in split]
-
-    def encode(self, text: str) -> list[int]:
-        if not (self.by_word and self.simple):
-            return self.library.encode(text)
-        return [int(i) for p in self.parts([text])[0] for i in p[0].split(",")]
+    def units(self, texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, tb.Texts]:
+        """Starts, ends and texts of words with the spaces before them, in the texts with a space put before each.
+
+        Spaces at the end of a text go with its last word. Line ends stand alone where the model has no piece that holds one.
+        """
+        n = len(texts.data)
+        some = np.diff(texts.at) > 0
+        at = texts.at + np.concatenate([[0], np.cumsum(some)])
+        data = np.full(int(at[-1]), 32, np.uint8)
+        data[np.arange(n) + np.repeat(np.cumsum(some), np.diff(texts.at))] = texts.data
+        space = data == 32
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        if self.by_line:
+            line = data == 10
+            first[1:] |= (line[1:] & ~space[:-1]) | (line[:-1] & ~space[1:])
+        head = at[:-1][some]
+        first[head] = True
+        begin = np.flatnonzero(first)
+        of = np.searchsorted(at, begin, "right") - 1
+        stop = np.append(begin[1:], len(data))
+        # a run of spaces up to the text's end, unless it is all of the text
+        filled = np.concatenate([[0], np.cumsum(~space)])
+        keep = (filled[stop] > filled[begin]) | (begin == at[of])
+        begin, of = begin[keep], of[keep]
+        return begin, np.append(begin[1:], len(data)), of, tb.Texts(data, at)
+
+    def summed(self, texts: tb.Texts) -> list[tuple[int, str, str, str]]:
+        """Of each text: the number of ids, and the sha256 of the ids joined by commas, of the decoded text, and
+        of the places in the text's bytes where pieces begin and the last one ends.
+
+        Each other piece ends where the next one begins. The places are little-endian 32-bit integers.
+        """
+        raw = texts.data.tobytes()
+        if not self.fast or MARK.encode() in raw:
+            if texts.n > 1:
+                return [row for i in range(texts.n) for row in self.summed(tb.Texts(texts.data[texts.at[i] : texts.at[i + 1]], texts.at[i : i + 2] - texts.at[i]))]
+            ids, begin, end = self.spans(raw.decode())
+            spelled, edges = ",".join(map(str, ids)), np.append(begin, end[-1:]).astype("<i4")
+            return [(len(ids), *(hashlib.sha256(x).hexdigest() for x in (spelled.encode(), self.library.decode(ids).encode(), edges)))]
+        begin, stop, of, spaced = self.units(texts)
+        (spelled, long), (width, count), (same, _), (other, size) = self.words.look(spaced, begin, stop)
+        first = np.searchsorted(of, np.arange(texts.n + 1))  # words by text
+        to_spelled, to_width, to_other = (np.concatenate([[0], np.cumsum(x)]) for x in (long, count, size))
+        text_width = to_width[first]
+        running = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        edges = np.zeros(len(width) + texts.n, "<i4")
+        tokens = np.diff(text_width)
+        own = np.repeat(np.arange(texts.n), tokens)
+        # the first mark is of no byte
+        edges[np.arange(len(width)) + own + 1] = running[1:] - running[text_width[:-1]][own] - 1
+        strange = np.add.reduceat(np.append(1 - same.astype(np.int64), 0), first[:-1]) * (np.diff(first) > 0) if len(of) else np.zeros(texts.n, np.int64)
+        out, view = [], spelled.data
+        places = zip(tokens.tolist(), to_spelled[first].tolist()[:-1], to_spelled[first].tolist()[1:], text_width.tolist(), texts.at.tolist()[:-1], texts.at.tolist()[1:], strict=False)
+        for i, (n, a, b, w, low, high) in enumerate(places):
+            decoded = raw[low:high]
+            if strange[i]:
+                decoded = b"".join(other[to_other[j] : to_other[j + 1]].tobytes() if not same[j] else spaced.data[begin[j] : stop[j]].tobytes() for j in range(first[i], first[i + 1]))
+                decoded = decoded[1:] if decoded.startswith(b" ") else decoded
+            sums = (view[a : max(a, b - 1)], decoded, edges[w + i : w + i + n + 1 if n else w + i])
+            out.append((n, *(hashlib.sha256(x).hexdigest() for x in sums)))
+        return out
 
     def spans(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
         """ids and, of each, the begin and end of its bytes in the text; together they cover it in order."""
         normal, source = self.normalise(text)
-        ids = self.encode(text)
+        ids = self.library.encode(text)
         width = self.width[ids] if ids else np.zeros(0, np.int64)
         if any(self.kinds[i] == UNKNOWN for i in ids):  # an unknown piece stands for the characters up to the next piece
             normal_pieces = self.library.encode(text, out_type=str)
@@ -213,38 +270,6 @@ class Encoder:
         end = np.cumsum(width)
         return ids, source[end - width], source[end]
 
-    def aligned(self, texts: list[str]) -> list[tuple[int, str, str, str]]:
-        """`digest`, and the sha256 of the places in the text's bytes where pieces begin and the last one ends.
-
-        Each other piece ends where the next one begins. The places are little-endian 32-bit integers.
-        """
-        parts = self.parts(texts) if self.by_word and self.simple else None
-        sums = []
-        for at, text in enumerate(texts):
-            # a mark of the text itself is no space
-            if parts is None or MARK in text or not self.marked:
-                _, begin, end = self.spans(text)
-                edges = np.append(begin, end[-1:]).astype("<i4")
-            else:
-                width = np.frombuffer(b"".join([k[3] for k in parts[at]]), "<i4")
-                edges = np.zeros(len(width) + 1 if len(width) else 0, "<i4")
-                np.cumsum(width, out=edges[1:])
-                edges[1:] -= self.prefix  # the first mark is of no byte
-            sums.append(hashlib.sha256(edges).hexdigest())
-        return [(*row, x) for row, x in zip(self.digest(texts, parts), sums, strict=True)]
-
-    def digest(self, texts: list[str], parts: list[list[tuple]] | None = None) -> list[tuple[int, str, str]]:
-        """Number of ids, and the sha256 of the ids joined by commas and of the decoded text."""
-        out = []
-        if not (self.by_word and self.simple):
-            for ids in self.library.encode(texts, num_threads=1):
-                out.append((len(ids), ",".join(map(str, ids)), self.library.decode(ids)))
-        else:
-            for known in self.parts(texts) if parts is None else parts:
-                text = "".join([k[2] for k in known])
-                out.append((sum([k[1] for k in known]), ",".join([k[0] for k in known]), text[1:] if text.startswith(" ") else text))
-        return [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for n, ids, text in out]
-
 
 def _encoder(path: str) -> Encoder:
     return hold(f"pieces of {path}", lambda: Encoder(path))
@@ -274,9 +299,9 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                some = batch.slice(a, 256)
-                rows = zip(*_encoder(model).aligned([t or "" for t in some.column("text").to_pylist()]), strict=True)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+            for a, b, texts in tb.pieces(batch.column("text")):
+                rows = zip(*_encoder(model).summed(texts), strict=True)
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True))], names)
 
     return by_batch(_source(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", caches=True)
