@@ -24,36 +24,36 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
 from .components import components
+from .deal import dealt
 from .store import keep
 from .workers import by_batch
 from .superminhash import bands, signatures
 
 SLOTS, ROWS = 128, 4
-#: Classes on each side of a tile.
-TILE = 1024
-#: Bits of the filter that keeps texts without candidates out of the shuffle (64 a row, broadcast: 2 MB at most).
-BITS = 1 << 22
-#: Parts that a hot class of copies is dealt into.
-SALT = 32
+#: Classes, and bytes of their sets, on each side of a tile.
+TILE, TILE_BYTES = 1024, 16 << 20
+#: Bits of the filter that keeps texts without candidates out of the shuffle: 16 for each candidate
+#: within these bounds. It is broadcast, 64 bits a row, so it takes 4 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 
 
-def _features(k: int):
+def _features(k: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in tb.pieces(batch.column("text")):
                 start, end, of = texts.words()
-                value, of = tb.shingles(texts.hashes(start, end, lower=True), of, texts.n, k)
+                value, of = tb.shingles(texts.hashes(start, end, True, key), of, texts.n, k)
                 size = np.bincount(of, minlength=texts.n)
                 cut = np.concatenate([[0], np.cumsum(size)])
                 digest = []
                 for salt in (1, 2):
                     total = np.zeros(len(value) + 1, np.uint64)
-                    np.cumsum(tb.mix(value * np.uint64(2 * salt + 1) + tb.TABLE[salt]), dtype=np.uint64, out=total[1:])
+                    np.cumsum(tb.mix(value * np.uint64(2 * salt + 1) + np.uint64(key >> salt)), dtype=np.uint64, out=total[1:])
                     digest.append((total[cut[1:]] - total[cut[:-1]]).view(np.int64))
                 keys = bands(signatures(value, of, texts.n, SLOTS), ROWS).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(texts.n + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
@@ -62,14 +62,14 @@ def _features(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in tb.pieces(batch.column("text")):
                 start, end, of = texts.words()
-                value, of = tb.shingles(texts.hashes(start, end, lower=True), of, texts.n, k)
+                value, of = tb.shingles(texts.hashes(start, end, True, key), of, texts.n, k)
                 cut = np.searchsorted(of, np.arange(texts.n + 1))
-                made = pa.array([value[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                made = pa.array([np.sort(value[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), made], ["rep", "set"])
 
     return run
@@ -132,27 +132,25 @@ def _tiles(share: Fraction):
     return run
 
 
-def _test(rows: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Links of all tiles. rows: t_1, t_2, t_3, side, rep, comp."""
+def _test(rows: DataFrame, share: Fraction) -> DataFrame:
+    """Links of all tiles. rows: t_1, t_2, t_3, side, rep, comp, set."""
     keys = [c for c in rows.columns if c.startswith("t_")]
-    whole = rows.join(sets, "rep").select(*keys, "side", "rep", "comp", "set")
-    return by_batch(whole.repartition(*keys).sortWithinPartitions(*keys), _tiles(share), "u long, v long").distinct()
+    return by_batch(rows.repartition(*keys).sortWithinPartitions(*keys), _tiles(share), "u long, v long").distinct()
 
 
-def _place(id: str) -> str:
-    return f"pmod(xxhash64({id}), {BITS})"
-
-
-def _filter(ids: DataFrame) -> DataFrame:
-    """A one-hash Bloom filter as rows (word, bits): BITS / 64 rows at most, whatever the data."""
-    bit = F.expr(f"shiftleft(1L, cast({_place('rep')} & 63 as int))")
-    return ids.select(F.expr(f"{_place('rep')} div 64").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def _blocks(n: str, size: str) -> Column:
+    """Parts into which the classes of a bucket are dealt, from their number and their sets' bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / TILE), F.ceil(F.col(size) / TILE_BYTES)).cast("long")
 
 
 def _passing(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be among ids; others mostly go before any shuffle."""
-    found = source.join(F.broadcast(_filter(ids)), F.expr(f"{_place('doc_id')} div 64 = word"))
-    return found.where(F.expr(f"bits & shiftleft(1L, cast({_place('doc_id')} & 63 as int)) <> 0")).select("doc_id", "text")
+    """The rows whose doc_id may be among ids, by a one-hash Bloom filter; others mostly go before any shuffle."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    place = lambda id: f"pmod(xxhash64({id}), {bits})"
+    bit = F.expr(f"shiftleft(1L, cast({place('rep')} & 63 as int))")
+    held = ids.select(F.expr(f"{place('rep')} div 64").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = source.join(F.broadcast(held), F.expr(f"{place('doc_id')} div 64 = word"))
+    return found.where(F.expr(f"bits & shiftleft(1L, cast({place('doc_id')} & 63 as int)) <> 0")).select("doc_id", "text")
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFrame:
@@ -161,57 +159,58 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
     words: of a shingle (lower-cased A-Z); shorter texts are one shingle. similarity: the
     least Jaccard similarity of a link, as an exact decimal.
     """
-    share = Fraction(similarity)
+    share, key = Fraction(similarity), tb.new_key()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = keep(by_batch(source, _features(words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "features")
+    seen = keep(by_batch(source, _features(words, key), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "features")
     real = seen.where("doc_id is not null and n_shingles > 0")
     classes = keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     # buckets of classes that share a band
-    lead = real.select(F.col("doc_id").alias("rep"), "d1", "d2", "bands").join(classes.select("rep", "d1", "d2"), ["rep", "d1", "d2"])
-    spread = lead.select("rep", F.explode("bands").alias("bucket"))
-    pivot = spread.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    member = keep(spread.join(pivot, "bucket").where("rep <> pivot").select("bucket", "pivot", "rep").distinct(), "buckets")
+    lead = real.select(F.col("doc_id").alias("rep"), "d1", "d2", "bands", (8 * F.col("n_shingles")).alias("size")).join(classes.select("rep", "d1", "d2").hint("merge"), ["rep", "d1", "d2"])
+    spread = lead.select("rep", "size", F.explode("bands").alias("bucket"))
+    pivot = keep(spread.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots")
+    total = classes.count() * (SLOTS // ROWS)
+    member = keep(dealt(spread, pivot, ["bucket"], "n", total).where("rep <> pivot").select("bucket", "pivot", "rep", "size").distinct(), "buckets")
 
     # full sets of all candidates
     ids = keep(member.select("rep").union(member.select("pivot")).distinct(), "candidates")
-    wanted = by_batch(_passing(source, ids).join(ids, F.col("doc_id") == ids.rep, "left_semi"), _sets(words), "rep long, set binary")
+    wanted = by_batch(_passing(source, ids).join(ids.hint("merge"), F.col("doc_id") == ids.rep, "left_semi"), _sets(words, key), "rep long, set binary")
     sets = keep(wanted.distinct(), "sets")
 
-    # every candidate against the least class of its bucket, TILE at a time
-    star = member.select("pivot", "rep").distinct()
-    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("long"))
-    sized = star.join(star.groupBy("pivot").agg(F.count("*").alias("n")), "pivot")
-    tiled = sized.select(F.col("pivot").alias("t_1"), part.alias("t_2"), F.lit(1).alias("side"), "rep", F.lit(1).alias("comp"))
-    heads = tiled.select("t_1", "t_2").distinct().select("t_1", "t_2", F.lit(0).alias("side"), F.col("t_1").alias("rep"), F.lit(0).alias("comp"))
-    first = keep(_test(tiled.union(heads), sets, share), "links")
+    # every candidate against the least class of its bucket, a tile at a time
+    star = keep(member.select("pivot", "rep", "size").distinct(), "star")
+    sized = keep(star.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("pivot", "n", _blocks("n", "bytes").alias("b")), "heads")
+    part = F.pmod(F.xxhash64("rep"), F.col("b"))
+    tiled = dealt(star, sized, ["pivot"], "n", star.count()).select(F.col("pivot").alias("t_1"), part.alias("t_2"), F.lit(1).alias("side"), "rep", F.lit(1).alias("comp")).join(sets.hint("merge"), "rep")
+    heads = sized.select(F.col("pivot").alias("rep"), "b").join(sets.hint("merge"), "rep")  # a hot one is multiplied after the join
+    heads = heads.select(F.col("rep").alias("t_1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("t_2"), F.lit(0).alias("side"), "rep", F.lit(0).alias("comp"), "set")
+    first = _test(tiled.select(*heads.columns).union(heads), share)
     # rows of one doc_id in several classes tie these
-    torn = real.select("doc_id", "d1", "d2").join(classes.where("copies > 1").select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep")
-    twice = real.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("n")).where("n > 1")
-    torn = torn.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    twice = real.groupBy("doc_id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")).where("a1 <> b1 or a2 <> b2").select("doc_id")
+    split = keep(real.select("doc_id", "d1", "d2").join(twice.hint("merge"), "doc_id", "left_semi"), "torn")
+    torn = dealt(split, classes, ["d1", "d2"], "copies", split.count()).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     first = keep(first.union(torn), "links")
     comp = components(first)
 
     # buckets that still hold several components: all their pairs, in tiles
-    known = member.join(comp, member.rep == comp.u, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))
-    mixed = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / TILE)).cast("long")
-    left = known.join(mixed, "bucket").select("bucket", "rep", "comp", blocks.alias("b")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("b")))
+    known = keep(member.select("bucket", "rep", "size").join(comp.hint("merge"), member.rep == comp.u, "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("comp")), "known")
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("low <> high")
+    mixed = keep(mixed.select("bucket", "n", _blocks("n", "bytes").alias("b")), "mixed")
+    left = dealt(known, mixed, ["bucket"], "n", known.count()).select("bucket", "rep", "comp", "b").join(sets.hint("merge"), "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("b")))
     tile = left.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("other"))
     rows = tile.select(
         F.col("bucket").alias("t_1"), F.least("mine", "other").alias("t_2"), F.greatest("mine", "other").alias("t_3"),
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp",
+        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "set",
     )
-    second = keep(_test(rows, sets, share), "links")
-    comp = components(first.union(second))
-
-    # back to the rows; a hot class is dealt into parts
-    shared = classes.where("copies > 1").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
-    rows = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2", F.pmod(F.hash("doc_id"), F.lit(SALT)).alias("part"))
-    named = rows.join(shared, (rows.d1 == shared.c1) & (rows.d2 == shared.c2) & (rows.part == shared.part) & rows.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), rows.part)
-    roots = comp.select(F.col("u"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("share"))
-    return named.join(roots, (named.rep == roots.u) & (named.part == roots.share), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "rep"), F.lit(True)).alias("kept")
+    comp = components(first.union(keep(_test(rows, share), "links")))
+
+    # back to the rows, by class
+    told = classes.join(comp.hint("merge"), classes.rep == comp.u, "left").where("copies > 1 or root is not null")
+    told = keep(told.select("d1", "d2", "copies", F.coalesce("root", "rep").alias("root")), "told")
+    rows = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), F.when(F.col("doc_id").isNotNull(), F.col("d2")).alias("d2"))
+    component = F.coalesce("root", "doc_id")
+    return dealt(rows, told, ["d1", "d2"], "copies", seen.count(), "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
@@ -220,5 +219,8 @@ def one_each(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFr
 
     Of rows that repeat a doc_id one stays; rows without doc_id all stay.
     """
+    names = docs.columns
+    place = [f"c{i}" for i in range(len(names))]
     gone = groups(docs, words, similarity).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    rows = docs.toDF(*place)
+    return rows.join(gone.hint("merge"), rows[place[names.index("doc_id")]].cast("long") == gone["gone"], "left_anti").toDF(*names)
