@@ -1,26 +1,41 @@
-"""Exact top-k search by BM25 over an inverted index with block-max pruning.
+"""Exact top-k search by BM25: an inverted index in shards with block-max WAND pruning.
 
 The index is cut into segments of bounded size, one or more for each partition of the
 documents, and written to the shared folder. A segment has the postings of its words (lower-
-cased A-Z), each posting's impact without the word's idf, and for its frequent words the
-largest impact in each block of documents. Number of documents, mean length and document
-frequencies are counted over all documents, so scores are the same in every segment and the
-segments' own top k merge exactly.
+cased A-Z): documents and term frequencies, and its documents' lengths. Documents with the
+same words as often are one document of a segment, with all their ids. The number of
+documents, the mean length and document frequencies are counted over all documents, so
+scores are the same in every segment and the segments' own top k merge exactly.
 
-Queries are worked off in blocks of bounded size, each broadcast to the segments. Of one
-query, the postings of the rarer words are added up first; they give a threshold that the
-k-th best document reaches. A block of documents is passed over if its best sum and the
-block's largest impacts of all the frequent words together stay below it, and frequent words
-are only looked up for the documents that remain.
+A search follows WAND, for all documents of a segment at once instead of one cursor after
+another, so that the work is array operations. The words of a query are ordered by the
+largest score that each can add here. The pivot is where the bounds of the words behind it
+stay below the threshold, the least score that can still be among the top k: no document
+gets there by those alone, so only documents in the postings up to the pivot are looked at,
+and a segment whose bounds together stay below the threshold is passed over. Of those
+documents, one is passed over where its score so far and the largest scores that the words
+behind the pivot have in its block of documents stay below the threshold. What remains is
+completed, a few words at a time, and dropped as soon as the rest can't lift it.
+
+An eighth of the segments is searched first; the k-th best score found there is the
+threshold with which the others begin, and a task carries what it finds from one segment to
+the next. Queries are worked off in blocks of bounded size, each broadcast to the segments.
 
 score = sum over the query's distinct words of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)),
-idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Ties go to the smaller doc_id. Documents without a
-word of the query are no hits. Null texts have no words; rows without doc_id are no queries
-and no hits. Rows that share a doc_id are documents of their own as hits.
+idf = ln(1 + (N - df + 0.5) / (df + 0.5)), in 64-bit floats, summed without rounding in between. Ties
+go to the smaller doc_id. Documents without a word of the query are no hits, and a query without
+words has none. Null texts have no words; rows without doc_id are no queries and no hits, and
+aren't counted. Rows that share a doc_id are documents of their own as hits, and one query of all
+their words as queries. Empty tables give no rows. Other columns aren't read. A text is
+held whole, with some 60 bytes for each of its words. Words are known by 64-bit hashes under a
+secret of the job, drawn anew for each, so no text can be made to clash; by chance two of a
+billion words clash with a probability of 3 %, and then count as one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,169 +49,316 @@ from .store import keep
 from .workers import by_batch
 
 K1, B = 1.2, 0.75
-#: Documents of a segment and of a block; queries of a block.
-SEGMENT, BLOCK, QUERIES = 4096, 64, 2048
-#: Share of a segment's documents from which a word counts as frequent.
-FREQUENT = 0.02
+#: A segment is closed at this many documents or postings; documents of a block.
+SEGMENT, POSTINGS, BLOCK = 8192, 3 << 20, 64
+#: Queries of a block, and distinct words of all of them, on average.
+QUERIES, TERMS = 8192, 3 << 20
+#: Share of a segment's documents from which a word has a row of all documents.
+FREQUENT = 0.05
+#: One of so many segments is searched first.
+LOTS = 8
+#: Words behind the pivot that are looked up at once.
+STEP = 12
+#: Postings up to which a word's are gathered with others', not copied by themselves.
+SHORT = 64
+#: Rounding that sums in any order stay within.
+SLACK = 1 - 1e-9
+
+INDEX = "lot int, n long, total long, ids binary, copies binary, words binary, first binary, docs binary, tf binary, lengths binary"
 
 
-def counted(texts: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counted(texts: tb.Texts, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, word, tf) of distinct words by text, and the texts' lengths in words."""
     start, end, of = texts.words()
-    word = texts.hashes(start, end, lower=True)
-    _, at, tf = np.unique(word ^ tb.mix(of.astype(np.uint64) * tb.GAMMA), return_index=True, return_counts=True)
+    word = texts.hashes(start, end, True, key)
+    at, tf = tb.distinct(word, of)
     return of[at], word[at], tf, np.bincount(of, minlength=texts.n)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """df of each word, and under word null the number of documents and of words."""
-    for batch in batches:
-        for _, _, texts in tb.pieces(batch.column("text")):
-            _, word, _, length = counted(texts)
-            word, df = np.unique(word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([*word.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(df, texts.n), pa.int64()), pa.array(np.append(df * 0, length.sum()), pa.int64())], ["word", "df", "length"])
-
-
-def _segments(mean: float):
-    def pack(parts: list[tuple]) -> pa.RecordBatch:
-        ids, doc, word, impact, low = [], [], [], [], 0
-        for name, of, w, tf, length in parts:
-            ids.append(name)
-            doc.append(of + low)
-            word.append(w)
-            impact.append((tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of] / mean))).astype(np.float32))
-            low += len(name)
-        ids, doc, word, impact = (np.concatenate(x) for x in (ids, doc, word, impact))
-        order = np.lexsort((doc, word))
-        kinds, first = np.unique(word[order], return_index=True)
-        columns = [ids, kinds, np.append(first, len(order)).astype(np.int32), doc[order].astype(np.int32), impact[order]]
-        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["ids", "words", "first", "docs", "impacts"])
+def twins(doc: np.ndarray, word: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each document the first one with the same words as often. doc, word: in order."""
+    n = len(length)
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    sums = np.concatenate([[0], np.cumsum(tb.mix(word + tb.mix(tf.astype(np.uint64) * tb.GAMMA)), dtype=np.uint64)])
+    mark = sums[cut[1:]] - sums[cut[:-1]]
+    _, first, back = np.unique(mark, return_index=True, return_inverse=True)
+    same = first[back]
+    for i in np.flatnonzero(same != np.arange(n)).tolist():
+        a, b = slice(cut[i], cut[i + 1]), slice(cut[same[i]], cut[same[i] + 1])
+        if length[i] != length[same[i]] or not (np.array_equal(word[a], word[b]) and np.array_equal(tf[a], tf[b])):
+            same[i] = i
+    return same
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(x: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(x, "<u2" if len(x) == 2 * count else "<u4")
+
+
+def segment(parts: list[tuple]) -> pa.RecordBatch:
+    """One row of the index. parts: doc_ids, (text, word, tf) and lengths of consecutive pieces."""
+    low, doc = 0, []
+    for ids, of, *_ in parts:
+        doc.append(of + low)
+        low += len(ids)
+    ids, word, tf, length = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+    doc = np.concatenate(doc)
+    order = np.lexsort((word, doc))
+    doc, word, tf = doc[order], word[order], tf[order]
+    same = twins(doc, word, tf, length)
+    kept = np.flatnonzero(same == np.arange(low))
+    number = np.cumsum(same == np.arange(low)) - 1
+    some = (same == np.arange(low))[doc]
+    doc, word, tf = number[doc[some]], word[some], tf[some]
+    by_bag = np.lexsort((ids, number[same]))  # all ids, by document and in order
+    copies = np.bincount(number[same], minlength=len(kept))
+    order = np.lexsort((doc, word))
+    kinds, first = np.unique(word[order], return_index=True)
+    lot = hashlib.blake2b(ids.tobytes(), digest_size=1).digest()[0] % LOTS
+    columns = [ids[by_bag].astype("<i8").tobytes(), copies.astype("<u4").tobytes(), kinds.tobytes(), np.append(first, len(order)).astype("<i4").tobytes(), _narrow(doc[order]), _narrow(tf[order]), length[kept].astype("<u4").tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([min(lot, 1)], pa.int32()), pa.array([low]), pa.array([int(length.sum())]), *(pa.array([c], pa.binary()) for c in columns)], [c.split()[0] for c in INDEX.split(", ")])
+
 
+def _segments(key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, postings = [], 0, 0
         for batch in batches:
             name = batch.column("doc_id").to_numpy()
             for a, b, texts in tb.pieces(batch.column("text")):
-                of, word, tf, length = counted(texts)
+                of, word, tf, length = counted(texts, key)
                 held.append((name[a:b], of, word, tf, length))
-                size += b - a
-                if size >= SEGMENT:
-                    yield pack(held)
-                    held, size = [], 0
+                size, postings = size + b - a, postings + len(of)
+                if size >= SEGMENT or postings >= POSTINGS:
+                    yield segment(held)
+                    held, size, postings = [], 0, 0
         if held:
-            yield pack(held)
+            yield segment(held)
 
     return run
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """df of each word of each segment."""
+    for batch in batches:
+        for words, first, docs, copies in zip(*(batch.column(c).to_pylist() for c in ("words", "first", "docs", "copies")), strict=True):
+            first = np.frombuffer(first, "<i4")
+            if len(first) > 1:
+                df = np.add.reduceat(np.frombuffer(copies, "<u4").astype(np.int64)[_wide(docs, first[-1])], first[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, "<i8")), pa.array(df)], ["word", "df"])
+
+
+class Asked:
+    """A block of queries: names, their distinct words in order with the idf of each, and each query's words as places there."""
+
+    def __init__(self, rows: list, words: np.ndarray, idf: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.idf = words[order], idf[order]
+        self.names = np.unique(np.array([r.query_id for r in rows], np.int64))
+        own: list[list[bytes]] = [[] for _ in self.names]
+        for r in rows:
+            own[int(np.searchsorted(self.names, r.query_id))].append(bytes(r.words))
+        sets = [np.unique(np.frombuffer(b"".join(x), np.uint64)) for x in own]
+        self.cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        self.places = np.concatenate([np.searchsorted(self.words, s).astype(np.int32) for s in sets] or [np.zeros(0, np.int32)])
+        self.least = np.zeros(len(self.names))
+
+
 class Segment:
-    def __init__(self, ids: bytes, words: bytes, first: bytes, docs: bytes, impacts: bytes):
-        self.ids, self.words = np.frombuffer(ids, np.int64), np.frombuffer(words, np.uint64)
-        self.first, self.docs, self.impacts = np.frombuffer(first, np.int32), np.frombuffer(docs, np.int32), np.frombuffer(impacts, np.float32)
-        self.n = len(self.ids)
+    """A row of the index, with the scores that its postings add to the queries of a block."""
+
+    def __init__(self, ids: bytes, copies: bytes, words: bytes, first: bytes, docs: bytes, tf: bytes, lengths: bytes, asked: Asked, mean: float):
+        self.ids, self.first = np.frombuffer(ids, "<i8"), np.frombuffer(first, "<i4").astype(np.int64)
+        copies = np.frombuffer(copies, "<u4")
+        self.of = np.concatenate([[0], np.cumsum(copies, dtype=np.int64)])
+        self.n, own = len(copies), np.frombuffer(words, np.uint64)
+        count = int(self.first[-1])
+        self.docs = _wide(docs, count).astype(np.int64)
+        # words of the queries that are here
+        at = np.minimum(np.searchsorted(own, asked.words), max(0, len(own) - 1))
+        here = own[at] == asked.words if len(own) else np.zeros(len(at), bool)
+        self.where = np.where(here, at, -1)
+        weight = np.zeros(len(own))
+        weight[at[here]] = asked.idf[here]
         size = np.diff(self.first)
-        self.often = np.flatnonzero(size > FREQUENT * self.n)
-        self.row = np.full(len(self.words), -1)
-        self.row[self.often] = np.arange(len(self.often))
-        self.dense = np.zeros((len(self.often), -(-self.n // BLOCK) * BLOCK), np.float32)
-        for i, w in enumerate(self.often):
+        norm = K1 * (1 - B + B * np.frombuffer(lengths, "<u4") / mean)
+        value = _wide(tf, count).astype(np.float64)
+        value *= (K1 + 1) / (value + norm[self.docs])
+        value *= np.repeat(weight, size)
+        self.value = value
+        self.most = np.maximum.reduceat(value, self.first[:-1]) if count else np.zeros(0)
+        often = np.flatnonzero((size > FREQUENT * self.n) & (weight > 0))
+        self.row = np.full(len(own), -1)
+        self.row[often] = np.arange(len(often))
+        self.blocks = -(-self.n // BLOCK)
+        self.dense = np.zeros((len(often), self.blocks * BLOCK))
+        for i, w in enumerate(often.tolist()):
             a, b = self.first[w], self.first[w + 1]
-            self.dense[i, self.docs[a:b]] = self.impacts[a:b]
-        self.most = self.dense.reshape(len(self.often), -1, BLOCK).max(axis=2)
-
-    def search(self, words: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and exact scores of this segment's top k."""
-        at = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-        there = self.words[at] == words if len(self.words) else np.zeros(len(words), bool)
-        at, idf = at[there], idf[there]
-        if not len(at):
-            return self.ids[:0], np.zeros(0)
-        rare = self.row[at] < 0
-        a, size = self.first[at[rare]], self.first[at[rare] + 1] - self.first[at[rare]]
-        place = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if rare.any() else np.zeros(0, np.int64)
-        total = np.bincount(self.docs[place], weights=self.impacts[place] * np.repeat(idf[rare], size), minlength=self.dense.shape[1])
-        rows, weight = self.row[at[~rare]], idf[~rare]
+            self.dense[i, self.docs[a:b]] = value[a:b]
+        self.peak = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2) if len(often) else np.zeros((0, self.blocks))
+
+    def added(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of some words: documents and what they add."""
+        first, size = self.first[words], self.first[words + 1] - self.first[words]
+        long = size > SHORT
+        at = tb.spread(first[~long], size[~long])
+        docs, value = [self.docs[at]], [self.value[at]]
+        for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
+            docs.append(self.docs[a : a + n])
+            value.append(self.value[a : a + n])
+        return np.concatenate(docs), np.concatenate(value)
+
+    def total(self, docs: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """What postings add to each document."""
+        return np.bincount(docs, value, self.n) if len(docs) else np.zeros(self.n)
+
+    def search(self, places: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and exact scores of this segment's top k, without those below `least`."""
+        word = self.where[places]
+        word = word[word >= 0]
+        bound = self.most[word]
+        if not len(word) or bound.sum() < least * SLACK:
+            return self.ids[:0], self.value[:0]
+        order = np.argsort(-bound, kind="stable")
+        word, bound = word[order], bound[order]
+        row = self.row[word]
+        rest = np.cumsum(bound[::-1])[::-1]  # of a word and all behind it
+        tail = np.zeros(len(word), bool)
+        postings = []
+        if least <= 0:  # no threshold yet: one from the rarer words
+            postings.append(self.added(word[row < 0]))
+            total = self.total(*postings[0])
+            least = float(np.partition(total, -k)[-k]) if self.n >= k else 0.0
+        pivot = int((rest >= least * SLACK).sum())
+        tail[pivot:] = row[pivot:] >= 0
+        postings.append(self.added(word[~tail & (row >= 0)] if postings else word[~tail]))
+        total = total + self.total(*postings[1]) if len(postings) > 1 else self.total(*postings[0])
+        rows, bound = row[tail], bound[tail]
         if len(rows):
-            threshold = np.partition(total, -k)[-k] if len(total) > k else 0.0
-            bound = weight @ self.most[rows]
-            reach = total.reshape(-1, BLOCK).max(axis=1) + bound >= threshold * (1 - 1e-9)
-            doc = np.flatnonzero(np.repeat(reach, BLOCK) & (total + np.repeat(bound, BLOCK) >= threshold * (1 - 1e-9)))
-            doc = doc[doc < self.n]
-            score = total[doc] + (weight[:, None] * self.dense[np.ix_(rows, doc)]).sum(axis=0)
+            doc = np.flatnonzero(total + np.repeat(self.peak[rows].sum(axis=0), BLOCK)[: self.n] >= least * SLACK)
+            score, left = total[doc], np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+            for a in range(0, len(rows), STEP):
+                if not len(doc):
+                    break
+                for r in rows[a : a + STEP].tolist():
+                    score += self.dense[r, doc]
+                stay = score + left[min(a + STEP, len(rows))] >= least * SLACK
+                doc, score = doc[stay], score[stay]
         else:
-            doc = np.flatnonzero(total)
+            doc = np.flatnonzero(total >= least * SLACK) if least > 0 else np.flatnonzero(total)
             score = total[doc]
-        doc, score = doc[score > 0], score[score > 0]
         if len(doc) > k:
             edge = np.partition(score, -k)[-k]
-            doc, score = doc[score >= edge], score[score >= edge]
-            order = np.lexsort((self.ids[doc], -np.round(score, 9)))[:k]
-            doc, score = doc[order], score[order]
-        return self.ids[doc], score
+            doc = doc[score >= edge * SLACK]
+        if not len(doc):
+            return self.ids[:0], self.value[:0]
+        # the k best: sums of the words' scores, rounded once
+        mark = np.zeros(self.n, np.int32)
+        mark[doc] = np.arange(1, len(doc) + 1)
+        parts: list[list[float]] = [d.tolist() for d in self.dense[np.ix_(rows, doc)].T] if len(rows) else [[] for _ in doc]
+        for docs, value in postings:
+            own = mark[docs]
+            at = np.flatnonzero(own)
+            for i, v in zip((own[at] - 1).tolist(), value[at].tolist(), strict=True):
+                parts[i].append(v)
+        found = []
+        for d, x in zip(doc.tolist(), parts, strict=True):
+            score = math.fsum(x)
+            if score >= least * SLACK:
+                found += [(-score, i) for i in self.ids[self.of[d] : min(self.of[d] + k, self.of[d + 1])].tolist()]
+        found = sorted(found)[:k]
+        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The terms of each query as one array of hashes and one of idf."""
-    for batch in batches:
-        terms = batch.column("terms")
-        flat, cut = terms.flatten(), np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
-        word, idf = flat.field("word").to_numpy(), flat.field("idf").to_numpy()
-        columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in (word, idf)]
-        yield pa.RecordBatch.from_arrays([batch.column("query_id"), *columns], ["query_id", "words", "idf"])
-
+def _search(shared, mean: float, k: int):
+    names = ["ids", "copies", "words", "first", "docs", "tf", "lengths"]
 
-def _search(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: Asked = shared.value
+        least = asked.least.copy()
+        best = np.repeat(least[:, None], k, axis=1)  # the scores of this task's best, by query
+        cut = asked.cut.tolist()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "words", "first", "docs", "impacts")), strict=True):
-                segment = Segment(*row)
+            for at in range(len(batch)):
+                part = Segment(*(batch.column(c)[at].as_py() for c in names), asked, mean)
                 out = []
-                for name, words, idf in zip(*shared.value, strict=True):
-                    doc, score = segment.search(np.frombuffer(words, np.uint64), np.frombuffer(idf, np.float64), k)
-                    out.append((np.full(len(doc), name), doc, score))
+                for q, name in enumerate(asked.names.tolist()):
+                    ids, score = part.search(asked.places[cut[q] : cut[q + 1]], least[q], k)
+                    if len(ids):
+                        out.append((np.full(len(ids), name), ids, score))
+                        best[q] = np.sort(np.concatenate([best[q], score]))[-k:]
+                        least[q] = best[q, 0]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "score"])
 
     return run
 
 
+def _asked(key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in tb.pieces(batch.column("text")):
+                of, word, _, _ = counted(texts, key)
+                order = np.argsort(of, kind="stable")
+                cut = np.searchsorted(of[order], np.arange(texts.n + 1))
+                words = pa.array([word[order[i:j]].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), words, pa.array(np.diff(cut))], ["query_id", "words", "n"])
+
+    return run
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each batch, by block."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        words = batch.column("words").to_pylist()
+        for b in np.unique(block).tolist():
+            own = np.unique(np.frombuffer(b"".join(words[i] for i in np.flatnonzero(block == b).tolist()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(own)], ["block", "word"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their idf as bytes: 16 a word on the driver, not objects."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("word", "idf")], ["words", "idf"])
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), doc_id and score of the top k documents of each query.
 
     docs: doc_id, text. queries: doc_id (the query's id), text.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, tb.new_key()
     plain = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    source = plain(docs)
-    stats = keep(by_batch(source, _frequencies, "word long, df long, length long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("length").alias("length")), "frequencies")
-    whole = stats.where("word is null").first()
-    schema = "query_id long, rank int, doc_id long, score double"
-    if whole is None or not whole.length:
-        return spark.createDataFrame([], schema)
-    number, mean = whole.df, whole.length / whole.df
-    index = keep(by_batch(source, _segments(mean), "ids binary, words binary, first binary, docs binary, impacts binary"), "segments")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = batch.column("doc_id").to_numpy()
-            for a, b, texts in tb.pieces(batch.column("text")):
-                of, word, _, _ = counted(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(name[a:b][of]), pa.array(word.view(np.int64))], ["query_id", "word"])
-
+    index = keep(by_batch(plain(docs), _segments(key), INDEX), "segments", "lot")
+    whole = index.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    asked = keep(by_batch(plain(queries), _asked(key), "query_id long, words binary, n long").where("n > 0"), "queries")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    if not whole.n or not whole.total or not size.n:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    number, mean = whole.n, whole.total / whole.n
+    blocks = max(-(-size.n // QUERIES), -(-size.terms // TERMS))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    # the frequencies of the queries' words: at most one row for a word on one side, and for a word and block on the other
+    df = by_batch(index.select("words", "first", "docs", "copies"), _frequencies, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    words = by_batch(dealt.select("block", "words"), _spelled, "block long, word long").distinct()
     idf = F.log1p((F.lit(number) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    words = by_batch(plain(queries), split, "query_id long, word long").distinct().join(stats.where("word is not null"), "word").select("query_id", "word", idf.alias("idf"))
-    grouped = words.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("word", "idf"))).alias("terms"))  # the words of one text
-    blocks = max(1, -(-plain(queries).select("doc_id").distinct().count() // QUERIES))
-    packed = by_batch(grouped, _packed, "query_id long, words binary, idf binary")  # 16 bytes a word on the driver, not objects
-    dealt = keep(packed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    hits = None
+    known = keep(words.join(df.hint("merge"), "word").select("block", "word", idf.alias("idf")), "idf")
+    hits = spark.createDataFrame([], "query_id long, doc_id long, score double")
     for block in range(blocks):  # of about QUERIES queries, one after another: bounded on the driver and in each executor
-        rows = dealt.where(F.col("block") == block).collect()
-        value = [[r.query_id for r in rows], [bytes(r.words) for r in rows], [bytes(r.idf) for r in rows]]
-        del rows
-        shared = spark.sparkContext.broadcast(value)
-        part = keep(by_batch(index, _search(shared, k), "query_id long, doc_id long, score double"), "hits")
-        shared.unpersist()
-        hits = part if hits is None else hits.union(part)
-    own = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+        packed = by_batch(known.where(F.col("block") == block).select("word", "idf"), _packed, "words binary, idf binary").collect()
+        value = Asked(dealt.where(F.col("block") == block).select("query_id", "words").collect(), *(np.frombuffer(b"".join(bytes(r[i]) for r in packed), t) for i, t in enumerate((np.uint64, np.float64))))
+        del packed
+        for lot in (0, 1):
+            shared = spark.sparkContext.broadcast(value)
+            part = keep(by_batch(index.where(F.col("lot") == lot).drop("lot", "n", "total"), _search(shared, mean, k), "query_id long, doc_id long, score double"), "hits")
+            shared.unpersist()
+            hits = hits.union(part)
+            if not lot:
+                own = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+                for r in part.withColumn("rank", F.row_number().over(own)).where(F.col("rank") == k).collect():  # a row for a query at most
+                    value.least[np.searchsorted(value.names, r.query_id)] = r.score
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

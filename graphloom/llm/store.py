@@ -22,12 +22,14 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation of what stands before it."""
+    and a lost executor costs no recomputation of what stands before it. by: a column of
+    few values whose rows are read apart."""
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
