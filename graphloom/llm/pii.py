@@ -8,15 +8,19 @@ counted (a bounded table), expectation-maximisation estimates each labeler's rel
 and the probability of each pattern, and a logistic span classifier is trained on these
 probabilities with features of its own. It decides which candidates become spans.
 
-All scans are linear in the text. Offsets are code points, ends exclusive. A null text is
-empty. Rows that repeat are scanned each. doc_id may be null.
+Candidates are tokens of at least eight characters with a digit and a letter, tokens without a
+digit where a cue word and `:` or `=` stand before them, and groups of 3, 3 and 4 digits; the
+labelers see the 24 characters before. All scans are linear in the text, which is held whole.
+Offsets are code points, ends exclusive. A null text is empty and stays null when masked. Rows
+that repeat are scanned each. doc_id may be null. Spans that begin at one place are ordered by
+kind. An empty table gives no rows, and a table without candidates only base spans.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workers import by_batch
+from .workers import by_batch, numbered
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 
@@ -86,6 +90,8 @@ _LOOSE_WORD = re.compile(r"[A-Za-z]+[0-9]{0,2}|[0-9_-]+[A-Za-z]{0,3}")
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "xox", "AIza", "eyJ")
 _CUES = re.compile(r"(?:password|passwd|pwd|token|secret|api[ _-]?key|access[ _-]?key|credential)\W{0,4}$", re.I)
 _CALLS = re.compile(r"(?:phone|tel|telephone|call|fax|mobile|cell)\W{0,4}$", re.I)
+#: Tokens without a digit, after a cue and a sign of assignment.
+_GIVEN = re.compile(r"(?:password|passwd|pwd|token|secret|key|credentials?)[ \"']{0,2}[:=][ \"']{0,2}([A-Za-z_-]{8,})(?![A-Za-z0-9_-])", re.I)
 _NEUTRAL = re.compile(r"(?:version|page|chapter|section|figure|isbn|no|number|id)\W{0,3}$", re.I)
 
 
@@ -142,8 +148,16 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         if any(a < high and low < b for a, b in spans[max(0, at - 1) : at + 3]):
             continue
         found, before = text[low:high], text[max(0, low - 24) : low]
-        v = votes(kind, found, before)
-        yield low, kind, high, (((v[0] * 3 + v[1]) * 3 + v[2]) * 3 + v[3]) * 64 + shape(found, before)
+        yield low, kind, high, pattern(kind, found, before)
+    for m in _GIVEN.finditer(text):
+        low, high = m.span(1)
+        if not any(a < high and low < b for a, b in spans[max(0, bisect_left(spans, (low, low)) - 4) : bisect_left(spans, (high, high))]):
+            yield low, 4, high, pattern(4, m[1], text[max(0, low - 24) : low])
+
+
+def pattern(kind: int, found: str, before: str) -> int:
+    v = votes(kind, found, before)
+    return (((v[0] * 3 + v[1]) * 3 + v[2]) * 3 + v[3]) * 64 + shape(found, before)
 
 
 def unpack(pattern: int) -> tuple[tuple[int, int, int, int], int]:
@@ -252,17 +266,14 @@ def spans(docs: DataFrame, model: frozenset[tuple[int, int]] | None = None) -> D
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span in `text` replaced by its kind; columns and rows stay."""
-    model, names = learn(docs), docs.columns
-    at = names.index("text")
+    """docs with every span in `text` replaced by its kind; columns, whatever their names, and rows stay."""
+    at = docs.columns.index("text")
+    rows, place = numbered(docs)
+    model = learn(rows.select(F.col(place[at]).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [t and redact(t, find(t, model)[1]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return by_batch(docs, run, docs.schema)
-
-
-def digest(found: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(spelled(found).encode()).hexdigest()
+    return by_batch(rows, run, rows.schema).toDF(*docs.columns)

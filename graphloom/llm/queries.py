@@ -62,8 +62,8 @@ def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     made = toxicity.scored(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return made.select("doc_id", held.alias("held_out"), F.col("toxicity score").alias("score"), (F.col("toxicity score") >= 0.5).cast("int").alias("predicted"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urlrules.judge(pages, urlrules.mine(pages, table(spark, sf_dir, "labels")))
+    return urlrules.judge(pages, urlrules.mine(pages, urlrules.by_document(pages, table(spark, sf_dir, "labels"))))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

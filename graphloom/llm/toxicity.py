@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbatch as tb
-from .workers import by_batch
+from .workers import by_batch, numbered
 
 SIZES = (4, 6)
 BUCKETS = 1 << 18
@@ -218,19 +218,28 @@ def _trained(share: float):
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with one more column, `toxicity score`: one pass, no shuffle. The model has a fixed size."""
-    spark, names = docs.sparkSession, docs.columns
-    shared = spark.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows of docs with one more column, the score: one pass, no shuffle. The model has a fixed size.
+
+    Columns of docs may have any name, that of the score as well; more than one `text` is an error.
+    """
+    names = docs.columns
+    text = names.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, place = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in tb.pieces(batch.column(names.index("text")), PIECE):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score(texts, shared.value))], [*names, "toxicity score"])
+            for a, b, texts in tb.pieces(batch.column(text), PIECE):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score(texts, shared.value))], [*place, "score"])
 
-    return by_batch(docs, run, T.StructType([*docs.schema.fields, T.StructField("toxicity score", T.DoubleType())]))
+    return by_batch(rows, run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).toDF(*names, name)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is below the threshold, with the columns of docs."""
-    return scored(docs, learn(docs, labels)).where(F.col("toxicity score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, place = numbered(docs)
+    # `learn` and `scored` ask for two columns alone
+    names = [c if c in ("doc_id", "text") else p for c, p in zip(docs.columns, place, strict=True)]
+    made = scored(rows.toDF(*names), learn(rows.toDF(*names), labels))
+    return made.where(F.col("score") < threshold).select(*names).toDF(*docs.columns)

@@ -41,8 +41,18 @@ def release() -> None:
         trim(0)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named by place, as clashing or dotted names can't be asked for, and those names."""
+    place = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*place), place
+
+
 def by_batch(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, caches: bool = False) -> DataFrame:
-    """df.mapInArrow(run, schema) within bounds. caches: whether run calls hold()."""
+    """df.mapInArrow(run, schema) within bounds. caches: whether run calls hold().
+
+    Where the session has Spark's own bound on an Arrow batch, MOST is set in its place and
+    stays, as the result is lazy; a bound that the caller has set is left alone.
+    """
     conf = df.sparkSession.conf
     if conf.get(BATCH, SPARKS) == SPARKS:
         conf.set(BATCH, str(MOST))
