@@ -7,7 +7,9 @@ good` that have enough support and confidence, and that no shorter rule implies,
 an inverted index from each rule's rarest token finds the rules of a url.
 
 A null url, or one without `://`, has an empty host and path and no tokens: its verdict is
-allow. Rows that repeat are judged each; page_id may be null.
+allow. In a tie of confidence it is allow, too. Rows that repeat are judged each; page_id may
+be null; an empty table gives no rows, and no labels no rules. Other columns aren't read. A
+url is held whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .deal import dealt
+from .store import keep
 from .workers import by_batch
 
 #: (host, path, verdict): the longest that fits decides.
@@ -66,36 +70,59 @@ def fixed(host: str, path: str) -> tuple[str | None, str | None]:
     return max(fits)[1:] if fits else (None, None)
 
 
-def mine(pages: DataFrame, labels: DataFrame, most: int = 50_000, support: float = 0.002, confidence: float = 0.6) -> Rules:
+def by_document(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id and quality of the pages whose url ends in the number of a labelled document.
+
+    labels: doc_id and quality, 0 or 1; of labels that share a doc_id the least counts.
+    """
+    one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("quality").alias("quality"))
+    number = F.regexp_extract(F.col("url").cast("string"), r"/([0-9]{1,18})(?:\.[a-z]+)?/?(?:[?#]|$)", 1)
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(number != "", number.cast("long")).alias("doc")).where("page_id is not null and doc is not null")
+    counts = keep(one.join(named.groupBy("doc").agg(F.count("*").alias("n")).hint("merge"), "doc"), "labelled")
+    return dealt(named, counts, ["doc"], "n", pages.count()).select("page_id", "quality")
+
+
+def mine(pages: DataFrame, labels: DataFrame, most: int = 50_000, support: float = 0.002, confidence: float = 0.6, lift: float = 1.05) -> Rules:
     """Rules from at most `most` labelled pages (those of least hash).
 
-    labels: doc_id (a page_id) and quality; 0 is bad. support: the least share of the sample
-    that has the tokens and the label; confidence: the least share of label among tokens.
-    A url has some ten tokens, so there are at most about 2**10 / support rules.
+    labels: page_id and quality; 0 is bad. support: the least share of the sample that has
+    the tokens and the label; confidence: the least share of the label among pages with the
+    tokens; lift: how many times its share of the sample that must at least be, so a label
+    that most pages have isn't a rule by itself. A url has some ten tokens, so there are at
+    most about 2**10 / support rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.min("quality").alias("quality"))
+    one = labels.where("page_id is not null and quality in (0, 1)").groupBy(F.col("page_id").cast("long").alias("labelled")).agg(F.min("quality").alias("quality"))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    sample = source.join(one, F.col("page_id") == F.col("labelled")).orderBy(F.xxhash64("page_id"), "url").limit(most)
+    sample = source.join(one.hint("merge"), F.col("page_id") == F.col("labelled")).orderBy(F.xxhash64("page_id"), "url").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[*tokens(u), GOOD if q else BAD] for u, q in zip(batch.column("url").to_pylist(), batch.column("quality").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["items"])
 
-    items = by_batch(sample.select("url", "quality"), run, T.StructType([T.StructField("items", T.ArrayType(T.StringType()))]))
+    items = keep(by_batch(sample.select("url", "quality"), run, T.StructType([T.StructField("items", T.ArrayType(T.StringType()))])), "items")
     if items.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    found = model.associationRules.where(F.col("consequent")[0].isin(BAD, GOOD)).select("antecedent", F.col("consequent")[0].alias("label"), "confidence").collect()
-    out: Rules = []
-    for row in sorted(found, key=lambda r: (len(r.antecedent), sorted(r.antecedent), r.label)):
-        name = frozenset(row.antecedent)
-        # a shorter rule with the same label that is as sure says it already
-        if not any(label == row.label and held < name and sure >= row.confidence for held, label, sure in out):
-            out.append((name, row.label, row.confidence))
-    return out
+    made = model.associationRules.where(F.col("consequent")[0].isin(BAD, GOOD) & (F.col("lift") >= lift))
+    return pruned([(frozenset(r.antecedent), r.label, r.confidence) for r in made.select("antecedent", F.col("consequent")[0].alias("label"), "confidence").collect()])
+
+
+def pruned(rules: Rules) -> Rules:
+    """The rules than which none with fewer of their tokens is as sure of the same label."""
+    sure = {(name, label): confidence for name, label, confidence in rules}
+    best: dict[tuple[frozenset[str], str], float] = {}
+
+    def within(name: frozenset[str], label: str) -> float:
+        """The surest rule whose tokens are all among `name`."""
+        if (name, label) not in best:
+            best[name, label] = max([sure.get((name, label), 0.0), *(within(name - {t}, label) for t in name)])
+        return best[name, label]
+
+    kept = [r for r in rules if all(within(r[0] - {t}, r[1]) < r[2] for t in r[0])]
+    return sorted(kept, key=lambda r: (len(r[0]), sorted(r[0]), r[1]))
 
 
 class Index:

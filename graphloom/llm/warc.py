@@ -7,9 +7,10 @@ Memory is bounded by one record.
 
 Payloads that occur more than once are stored once: the record of the largest page_id is
 the response, the others revisit it by its digest (rows that repeat the largest page_id
-are responses too). A null html is an empty payload; a null page_id is written as `-` and
+are responses too). Control characters of a url are left out of its header. A null html is an empty payload; a null page_id is written as `-` and
 read back as null, and such rows are never revisited by others unless all are null; a null
-url is an empty target. Files lie in the folder that the cluster shares, under names of
+url is an empty target. An empty table gives no archive and no rows; other columns aren't
+read. A payload, and the index of one archive, is held whole. Files lie in the folder that the cluster shares, under names of
 their own for each attempt; only the attempt whose row arrives counts.
 """
 
@@ -40,7 +41,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers: int | None, minimum: int = 0) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, refers: int | None) -> bytes:
     """A response, or with `refers` a revisit without body, which names the response and the payload's size."""
     name = "-" if page is None else str(page)
     target = "".join(c for c in url or "" if c >= " ")
