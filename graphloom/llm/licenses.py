@@ -10,7 +10,10 @@ subsequence bounds any alignment. Places of one template don't overlap; those th
 first are taken, so a notice that is repeated is found each time. Where patience is misled
 by words that aren't unique, the bound itself is the coverage.
 
-Null and empty texts have no license. Rows that repeat are scanned each. doc_id may be null.
+Null and empty texts have no license. Rows that repeat are scanned each. doc_id may be null. Of
+licenses that begin at one place the surer one comes first, then the lesser name; a text may
+be covered by several templates at once. An empty table gives no rows; other columns aren't
+read. A text is held whole, its words as objects; the work is linear in it for each template.
 """
 
 from __future__ import annotations
@@ -26,17 +29,42 @@ from pyspark.sql import functions as F
 
 from .workers import by_batch
 
-# Public license texts and notices.
+# Public license texts, their paragraphs where these also stand alone, notices and identifiers.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "spdx MIT": "SPDX-License-Identifier: MIT",
+    "spdx Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx GPL-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx GPL-2.0-or-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx ISC": "SPDX-License-Identifier: ISC",
+    "spdx MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "spdx LGPL-2.1-or-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx AGPL-3.0-only": "SPDX-License-Identifier: AGPL-3.0-only",
 }
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -171,14 +199,15 @@ class Template:
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.templates = {name: Template(words(t)[0]) for name, t in templates.items()}
+        self.kinds = {w for t in self.templates.values() for w in t.number}
 
     def scan(self, text: str | None, least: float = 0.8) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in code points) of every place that covers enough of a template."""
         if not text:
             return []
-        kinds = {w.lower() for w in set(_WORD.findall(text))}
+        kinds = {w.lower() for w in set(_WORD.findall(text))} & self.kinds
         # no place can share more words than the whole text does
-        some = {name: t for name, t in self.templates.items() if sum(n for w, n in t.number.items() if w in kinds) >= t.need(least)}
+        some = {name: t for name, t in self.templates.items() if sum(map(t.number.__getitem__, kinds & t.number.keys())) >= t.need(least)}
         if not some:
             return []
         own, spans = words(text)
