@@ -10,7 +10,9 @@ plan, too, is bounded by the number of lengths. Pieces find their place in the p
 their rank among the pieces of their length.
 
 A null text is empty: its document is the end mark alone. Rows that repeat are packed each
-on their own. doc_id may be null.
+on their own; ties of length go by doc_id, piece and checksum. doc_id may be null; an empty
+table gives no rows; other columns aren't read. A text is held whole, with some 40 bytes for
+each of its words.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ HELD = 1_000_000
 PARTS_HELD = 250_000
 #: Bytes of text that are encoded at once.
 PIECE = 1 << 20
-#: Parts by which pieces of one length are ranked.
-PARTS = 256
+#: Pieces in each of the parts by which those of one length are ranked, on average over all lengths, and the fewest parts.
+PART, PARTS = 1 << 20, 64
 
 
 #: Bytes that keep a word whole, and kinds of the others: letters 1, digits 2, signs 0.
@@ -318,9 +320,10 @@ def _assign(made: list[tuple[tuple[int, ...], int]]):
 
 def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with doc_id, piece, length and ids_crc32."""
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS))
+    parts = max(PARTS, pieces.count() // PART)
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
     dealt = pieces.withColumn("part", part)
-    sums = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most capacity * PARTS rows
+    sums = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most capacity * parts rows
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     counts = {r.length: r.n for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
