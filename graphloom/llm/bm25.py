@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbatch as tb
-from .store import keep
+from .store import forget, keep
 from .workers import by_batch
 
 K1, B = 1.2, 0.75
@@ -346,7 +347,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     words = by_batch(dealt.select("block", "words"), _spelled, "block long, word long").distinct()
     idf = F.log1p((F.lit(number) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = keep(words.join(df.hint("merge"), "word").select("block", "word", idf.alias("idf")), "idf")
-    hits = spark.createDataFrame([], "query_id long, doc_id long, score double")
+    hits = []
     for block in range(blocks):  # of about QUERIES queries, one after another: bounded on the driver and in each executor
         packed = by_batch(known.where(F.col("block") == block).select("word", "idf"), _packed, "words binary, idf binary").collect()
         value = Asked(dealt.where(F.col("block") == block).select("query_id", "words").collect(), *(np.frombuffer(b"".join(bytes(r[i]) for r in packed), t) for i, t in enumerate((np.uint64, np.float64))))
@@ -355,10 +356,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             shared = spark.sparkContext.broadcast(value)
             part = keep(by_batch(index.where(F.col("lot") == lot).drop("lot", "n", "total"), _search(shared, mean, k), "query_id long, doc_id long, score double"), "hits")
             shared.unpersist()
-            hits = hits.union(part)
+            hits.append(part)
             if not lot:
                 own = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
                 for r in part.withColumn("rank", F.row_number().over(own)).where(F.col("rank") == k).collect():  # a row for a query at most
                     value.least[np.searchsorted(value.names, r.query_id)] = r.score
+    forget(index, asked, known)
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return reduce(DataFrame.union, hits).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .deal import dealt
-from .store import keep
+from .store import forget, keep
 from .workers import by_batch
 
 #: Links that one union-find holds before it hands on its forest.
@@ -41,19 +41,23 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: u, v (long). Returns u and root, the least node that u reaches, for each u that isn't a root."""
+    """links: u, v (long). Returns u and root, the least node that u reaches, for each u that isn't a root;
+    the caller may forget() them."""
     spark = links.sparkSession
     edges = keep(by_batch(links.where("u <> v"), _forest, "u long, v long"), "forest")
     total = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = total()
     while True:
-        before = now
+        before, old = now, edges
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
         large = keep(dealt(both, low, ["u"], "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = dealt(large, least, ["u"], "n", before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.union(least.select("u", "m")).distinct(), "stars")
+        forget(old, large)
         now = total()
         if now == before:
-            return edges.select("u", F.col("v").alias("root"))
+            root = edges.select("u", F.col("v").alias("root"))
+            root.kept = edges.kept
+            return root

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ def dealt(many: DataFrame, one: DataFrame, on: list[str], n: str, total: int, ho
     hot = one.where(F.col(n) > most).select(*on, parts.alias("_parts"))
     left = many.join(F.broadcast(hot), on, "left")
     rest = [c for c in many.columns if c not in on] or on
-    left = left.withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rest), F.col("_parts")).cast("int"))).drop("_parts")
+    null = reduce(or_, (F.col(c).isNull() for c in on))  # finds no partner: anywhere will do
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*rest), F.when(null, F.lit(HOTS)).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")).drop("_parts")
     right = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.when(F.col(n) > most, parts).otherwise(1) - 1))))
     return left.join(right.hint("merge"), [*on, "_part"], how).drop("_part")

@@ -12,9 +12,14 @@
 With 32 bands of 4 rows a link at similarity 0.8 stays unseen with probability
 (1 - 0.8**4)**32 = 5e-8.
 
+Words are hashed to 64 bits under a secret of the job, so no text can be made to share a word
+that it doesn't have; by chance two texts of 20,000 words share one with a probability of
+2e-11, and two sets one digest with 2e-38 (they are then one class).
+
 Rows that share a doc_id are one document. A null or wordless text has an empty set and is
 linked with nothing. A row without doc_id takes part in no link; its component_id is null
-and it is kept.
+and it is kept. Of ties the least doc_id leads. An empty table gives no rows; other columns
+aren't read. A text, and its set, is held whole; no more than a tile of sets is.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .components import components
 from .deal import dealt
-from .store import keep
-from .workers import by_batch
+from .store import forget, keep
+from .workers import by_batch, numbered
 from .superminhash import bands, signatures
 
 SLOTS, ROWS = 128, 4
@@ -143,14 +148,17 @@ def _blocks(n: str, size: str) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(n) / TILE), F.ceil(F.col(size) / TILE_BYTES)).cast("long")
 
 
-def _passing(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be among ids, by a one-hash Bloom filter; others mostly go before any shuffle."""
+def _marked(source: DataFrame, id: str, ids: DataFrame) -> DataFrame:
+    """source with a column `may`: whether the row's id may be among ids (`rep`), by a one-hash Bloom filter.
+
+    So the other rows' texts need no shuffle.
+    """
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
     place = lambda id: f"pmod(xxhash64({id}), {bits})"
-    bit = F.expr(f"shiftleft(1L, cast({place('rep')} & 63 as int))")
-    held = ids.select(F.expr(f"{place('rep')} div 64").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = source.join(F.broadcast(held), F.expr(f"{place('doc_id')} div 64 = word"))
-    return found.where(F.expr(f"bits & shiftleft(1L, cast({place('doc_id')} & 63 as int)) <> 0")).select("doc_id", "text")
+    bit = lambda id: f"shiftleft(1L, cast({place(id)} & 63 as int))"
+    held = ids.select(F.expr(f"{place('rep')} div 64").alias("word"), F.expr(bit("rep")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = source.join(F.broadcast(held), F.expr(f"{place(id)} div 64 = word"), "left")
+    return found.withColumn("may", F.coalesce(F.expr(f"{id} is not null and bits & {bit(id)} <> 0"), F.lit(False))).drop("word", "bits")
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFrame:
@@ -174,7 +182,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
 
     # full sets of all candidates
     ids = keep(member.select("rep").union(member.select("pivot")).distinct(), "candidates")
-    wanted = by_batch(_passing(source, ids).join(ids.hint("merge"), F.col("doc_id") == ids.rep, "left_semi"), _sets(words, key), "rep long, set binary")
+    wanted = by_batch(_marked(source, "doc_id", ids).where("may").select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == ids.rep, "left_semi"), _sets(words, key), "rep long, set binary")
     sets = keep(wanted.distinct(), "sets")
 
     # every candidate against the least class of its bucket, a tile at a time
@@ -184,12 +192,12 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
     tiled = dealt(star, sized, ["pivot"], "n", star.count()).select(F.col("pivot").alias("t_1"), part.alias("t_2"), F.lit(1).alias("side"), "rep", F.lit(1).alias("comp")).join(sets.hint("merge"), "rep")
     heads = sized.select(F.col("pivot").alias("rep"), "b").join(sets.hint("merge"), "rep")  # a hot one is multiplied after the join
     heads = heads.select(F.col("rep").alias("t_1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("t_2"), F.lit(0).alias("side"), "rep", F.lit(0).alias("comp"), "set")
-    first = _test(tiled.select(*heads.columns).union(heads), share)
+    near = keep(_test(tiled.select(*heads.columns).union(heads), share), "links")
     # rows of one doc_id in several classes tie these
     twice = real.groupBy("doc_id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")).where("a1 <> b1 or a2 <> b2").select("doc_id")
     split = keep(real.select("doc_id", "d1", "d2").join(twice.hint("merge"), "doc_id", "left_semi"), "torn")
     torn = dealt(split, classes, ["d1", "d2"], "copies", split.count()).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    first = keep(first.union(torn), "links")
+    first = near.union(torn)
     comp = components(first)
 
     # buckets that still hold several components: all their pairs, in tiles
@@ -202,11 +210,13 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
         F.col("bucket").alias("t_1"), F.least("mine", "other").alias("t_2"), F.greatest("mine", "other").alias("t_3"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "set",
     )
-    comp = components(first.union(keep(_test(rows, share), "links")))
+    more = keep(_test(rows, share), "links")
+    whole = components(first.union(more))
 
     # back to the rows, by class
-    told = classes.join(comp.hint("merge"), classes.rep == comp.u, "left").where("copies > 1 or root is not null")
+    told = classes.join(whole.hint("merge"), classes.rep == whole.u, "left").where("copies > 1 or root is not null")
     told = keep(told.select("d1", "d2", "copies", F.coalesce("root", "rep").alias("root")), "told")
+    forget(classes, pivot, member, ids, sets, star, sized, split, near, comp, known, mixed, more, whole)
     rows = seen.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), F.when(F.col("doc_id").isNotNull(), F.col("d2")).alias("d2"))
     component = F.coalesce("root", "doc_id")
     return dealt(rows, told, ["d1", "d2"], "copies", seen.count(), "left").select(
@@ -217,10 +227,17 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
 def one_each(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFrame:
     """The rows of docs, with its columns, without all but one document of each group.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Of rows that repeat a doc_id any one stays; rows without doc_id all stay. Columns of docs
+    may have any name; more than one `text` or `doc_id` is an error.
     """
-    names = docs.columns
-    place = [f"c{i}" for i in range(len(names))]
-    gone = groups(docs, words, similarity).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.toDF(*place)
-    return rows.join(gone.hint("merge"), rows[place[names.index("doc_id")]].cast("long") == gone["gone"], "left_anti").toDF(*names)
+    rows, place = numbered(docs)
+    id, text = (place[docs.columns.index(c)] for c in ("doc_id", "text"))
+    named = keep(groups(rows.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")), words, similarity).select("doc_id", "kept"), "named")
+    marks = named.where("doc_id is not null").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("n"), F.min("kept").alias("kept"))
+    marks = keep(marks.where("n > 1 or not kept"), "marks")
+    told = _marked(rows.withColumn("rep", F.col(id).cast("long")), "rep", marks)
+    stay = dealt(told.where("may").drop("may"), marks, ["rep"], "n", named.count(), "left").where("coalesce(kept, true)")
+    made = told.where("not may").select(*place)
+    if marks.where("kept").isEmpty():  # no doc_id that stays is repeated
+        return made.union(stay.select(*place)).toDF(*docs.columns)
+    return made.union(stay.where("n is null").select(*place)).union(stay.where("n is not null").dropDuplicates(["rep"]).select(*place)).toDF(*docs.columns)

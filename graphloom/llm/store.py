@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests), a temporary folder is set."""
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder in local mode (tests); an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,10 +32,18 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = place(spark, name)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.kept = path
+    return made
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a path of place()."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of keep() that nothing reads any more."""
+    for made in tables:
+        discard(made.sparkSession, made.kept)
