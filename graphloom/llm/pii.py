@@ -90,8 +90,9 @@ _LOOSE_WORD = re.compile(r"[A-Za-z]+[0-9]{0,2}|[0-9_-]+[A-Za-z]{0,3}")
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "xox", "AIza", "eyJ")
 _CUES = re.compile(r"(?:password|passwd|pwd|token|secret|api[ _-]?key|access[ _-]?key|credential)\W{0,4}$", re.I)
 _CALLS = re.compile(r"(?:phone|tel|telephone|call|fax|mobile|cell)\W{0,4}$", re.I)
-#: Tokens without a digit, after a cue and a sign of assignment.
-_GIVEN = re.compile(r"(?:password|passwd|pwd|token|secret|key|credentials?)[ \"']{0,2}[:=][ \"']{0,2}([A-Za-z_-]{8,})(?![A-Za-z0-9_-])", re.I)
+#: Tokens without a digit, after a sign of assignment, and the cue that must stand before that.
+_GIVEN = re.compile(r"[:=][ \"']{0,2}([A-Za-z_-]{8,})(?![A-Za-z0-9_-])")
+_NAMES = re.compile(r"(?:password|passwd|pwd|token|secret|key|credentials?)[ \"']{0,2}$", re.I)
 _NEUTRAL = re.compile(r"(?:version|page|chapter|section|figure|isbn|no|number|id)\W{0,3}$", re.I)
 
 
@@ -151,7 +152,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[i
         yield low, kind, high, pattern(kind, found, before)
     for m in _GIVEN.finditer(text):
         low, high = m.span(1)
-        if not any(a < high and low < b for a, b in spans[max(0, bisect_left(spans, (low, low)) - 4) : bisect_left(spans, (high, high))]):
+        if _NAMES.search(text[max(0, m.start() - 16) : m.start()]) and not any(a < high and low < b for a, b in spans[max(0, bisect_left(spans, (low, low)) - 4) : bisect_left(spans, (high, high))]):
             yield low, 4, high, pattern(4, m[1], text[max(0, low - 24) : low])
 
 
