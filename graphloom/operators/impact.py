@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import USAGE, score, tier_rank
-from graphloom.operators.traverse import fan_in
+from graphloom.operators.traverse import fan_in, p95
 
 MAX_DEPTH, MAX_NODES = 6, 500
+#: Nodes that the driver holds, and that a level broadcasts, at most.
+MOST_NODES = 100_000
 
 
 def seeds_of_files(symbol: DataFrame, file: DataFrame, changed: DataFrame) -> DataFrame:
@@ -16,21 +21,27 @@ def seeds_of_files(symbol: DataFrame, file: DataFrame, changed: DataFrame) -> Da
     return symbol.join(file.join(changed, "path", "left_semi").select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id")
 
 
-def radius(edge: DataFrame, symbol: DataFrame, seeds: list[int], depth: int = MAX_DEPTH, nodes: int = MAX_NODES) -> tuple[DataFrame, list[str]]:
+def radius(edge: DataFrame, symbol: DataFrame, seeds: list[int], depth: int = MAX_DEPTH, nodes: int = MAX_NODES, fan: DataFrame | None = None, most: int | None = None, seconds: float = math.inf) -> tuple[DataFrame, list[str]]:
     """The symbols that reach the seeds backwards, by level, and warnings about what was cut.
 
     Inside a level the best evidence comes first, so a cut drops the weakest. A level is one
     join with a frontier of at most `nodes` ids; no level is planned on the one before, so
-    plans don't grow. Returns id, depth, tier, score, stable_key.
+    plans don't grow. fan, most: as in neighbours(). seconds: no level begins later than that.
+    Returns id, depth, tier, score, stable_key.
     """
-    spark = edge.sparkSession
+    if nodes > MOST_NODES:
+        raise ValueError(f"at most {MOST_NODES} nodes are held on the driver")
+    spark, start = edge.sparkSession, time.monotonic()
     usage = edge.where(F.col("kind").isin(USAGE)).select("src", "dst", "tier")
-    used = fan_in(edge)
-    p95 = used.agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY fan_in)")).first()[0] or 0
+    used = fan_in(edge) if fan is None else fan
+    most = p95(used).first()[0] if most is None else most
     seen, frontier, rows, warnings = set(seeds), sorted(set(seeds)), [], []
     for level in range(1, depth + 2):
         if not frontier:
             break
+        if time.monotonic() - start > seconds:
+            warnings.append(f"{seconds:g} seconds reached")
+            break
         here = F.broadcast(spark.createDataFrame([(x,) for x in frontier], "dst long"))  # at most `nodes` rows
         past = F.broadcast(spark.createDataFrame([(x,) for x in sorted(seen)], "src long"))  # seeds and at most `nodes` rows
         fresh = usage.join(here, "dst", "left_semi").join(past, "src", "left_anti")
@@ -40,7 +51,7 @@ def radius(edge: DataFrame, symbol: DataFrame, seeds: list[int], depth: int = MA
             break
         best = fresh.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(tier_rank(F.col("tier")).alias("rank"), "tier")).alias("e"))
         known = best.join(symbol.select("id", "stable_key", "exported"), "id").join(used, "id", "left")
-        value = score(level, F.coalesce("fan_in", F.lit(0)), F.lit(p95), F.col("exported"))
+        value = score(level, F.coalesce("fan_in", F.lit(0)), F.lit(most), F.col("exported"))
         ordered = known.select("id", F.col("e.rank").alias("rank"), F.col("e.tier").alias("tier"), value.alias("score"), "stable_key").orderBy("rank", F.desc("score"), "stable_key")
         left = nodes - len(rows)
         found = ordered.limit(left + 1).collect()  # at most `nodes` + 1 rows

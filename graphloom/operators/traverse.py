@@ -30,7 +30,12 @@ def fan_in(edge: DataFrame) -> DataFrame:
 
 def fan_in_p95(edge: DataFrame) -> DataFrame:
     """One row: the nearest-rank 95th percentile of fan-in, 0 without usage."""
-    return fan_in(edge).agg(F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY fan_in)"), F.lit(0)).cast("long").alias("p95"))
+    return p95(fan_in(edge))
+
+
+def p95(fan: DataFrame) -> DataFrame:
+    """The same from a table of fan_in()."""
+    return fan.agg(F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY fan_in)"), F.lit(0)).cast("long").alias("p95"))
 
 
 def seed(symbol: DataFrame, name: str) -> DataFrame:
@@ -43,10 +48,11 @@ def seed(symbol: DataFrame, name: str) -> DataFrame:
     return hits.agg(F.min(F.struct("level", "n", "id")).alias("x")).where("x.n = 1").select("x.id")
 
 
-def neighbours(edge: DataFrame, symbol: DataFrame, file: DataFrame, pattern: str, of: DataFrame | int, distance: int = 1) -> DataFrame:
+def neighbours(edge: DataFrame, symbol: DataFrame, file: DataFrame, pattern: str, of: DataFrame | int, distance: int = 1, fan: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """The symbols that a pattern reaches, once each by its best edge, with tier and score.
 
-    of: an id, or a one-row DataFrame of `id`.
+    of: an id, or a one-row DataFrame of `id`. fan, most: a table of fan_in() and its 95th
+    percentile where these are written; else they are counted from all edges.
     """
     kinds, reverse = PATTERNS[pattern]
     here, there = ("dst", "src") if reverse else ("src", "dst")
@@ -58,15 +64,16 @@ def neighbours(edge: DataFrame, symbol: DataFrame, file: DataFrame, pattern: str
     order = Window.partitionBy("id").orderBy("tier_rank", F.when(F.col("edge_kind") == "CALLS", 0).otherwise(1), F.asc_nulls_first("site_line"), "edge_kind", "confidence")
     hits = some.select(F.col(there).alias("id"), F.col("kind").alias("edge_kind"), "tier", "confidence", "site_line", tier_rank(F.col("tier")).alias("tier_rank"))
     best = hits.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    used = fan_in(edge).join(best.select("id"), "id", "left_semi")
-    found = best.join(symbol, "id").join(file.select(F.col("id").alias("file_id"), "path"), "file_id").join(used, "id", "left").crossJoin(F.broadcast(fan_in_p95(edge)))  # one row
+    used = fan if fan is not None else fan_in(edge).join(best.select("id"), "id", "left_semi")
+    found = best.join(symbol, "id").join(file.select(F.col("id").alias("file_id"), "path"), "file_id").join(used, "id", "left")
+    found = found.crossJoin(F.broadcast(p95(used if fan is not None else fan_in(edge)))) if most is None else found.withColumn("p95", F.lit(most))  # one row
     value = score(distance, F.coalesce("fan_in", F.lit(0)), F.col("p95"), F.col("exported"))
     return found.select("id", "stable_key", "qualified_name", F.col("kind"), "path", "edge_kind", "tier", "tier_rank", "confidence", "site_line", F.coalesce("fan_in", F.lit(0)).cast("long").alias("fan_in"), value.alias("score"))
 
 
-def one_hop(edge: DataFrame, symbol: DataFrame, file: DataFrame, pattern: str, of: DataFrame | int, limit: int = 50) -> tuple[DataFrame, bool]:
+def one_hop(edge: DataFrame, symbol: DataFrame, file: DataFrame, pattern: str, of: DataFrame | int, limit: int = 50, fan: DataFrame | None = None, most: int | None = None) -> tuple[DataFrame, bool]:
     """The best `limit` neighbours, tier before score before key, and whether there are more."""
-    ordered = neighbours(edge, symbol, file, pattern, of).orderBy("tier_rank", F.desc("score"), F.expr("collate(stable_key, 'UNICODE')"))
+    ordered = neighbours(edge, symbol, file, pattern, of, fan=fan, most=most).orderBy("tier_rank", F.desc("score"), F.expr("collate(stable_key, 'UNICODE')"))
     return ordered.limit(limit), len(ordered.select("id").take(limit + 1)) > limit
 
 

@@ -11,6 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators import traverse
+from graphloom.sources.store import keep
+
 VIEWS = {
     "file": """SELECT CAST(n_nationkey AS BIGINT) AS id,
   concat('src/', lower(replace(r_name, ' ', '_')), '/', lower(n_name), CASE WHEN n_nationkey % 8 = 7 THEN '.test.ts' ELSE '.ts' END) AS path,
@@ -50,9 +53,20 @@ def duck(body: str, ctes: str = "") -> str:
     return "WITH RECURSIVE " + ",\n".join([*views, *([ctes] if ctes else [])]) + "\n" + body
 
 
+#: Tables written for a session and folder, by what they were made from.
+_written: dict[tuple, dict[str, DataFrame]] = {}
+
+PARTS = 32
+
+
 @dataclass
 class Graph:
-    """The five tables of a code graph."""
+    """The tables of a code graph over a folder of base tables, written once in a session.
+
+    They lie in the shared folder: edges by kind, once in the order of their targets and once
+    in that of their sources, so that a pattern reads its own kinds and, by the files'
+    statistics, little else; fan-in is a table of its own.
+    """
 
     spark: SparkSession
     folder: str
@@ -66,22 +80,58 @@ class Graph:
         frames |= {v: self.view(v) for v in VIEWS if f"{{{v}}}" in text}
         return self.spark.sql(text, **frames)
 
+    def state(self) -> tuple:
+        """What the written tables depend on: the session, and the base tables' sizes and times."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        found = []
+        for t in TABLES[:8]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{t}.parquet")
+            system = at.getFileSystem(conf)
+            found.append((t, system.getContentSummary(at).getLength(), system.getFileStatus(at).getModificationTime()))
+        return (self.spark.sparkContext.applicationId, self.folder, *found)
+
+    @cached_property
+    def written(self) -> dict[str, DataFrame]:
+        state = self.state()
+        if state not in _written:
+            made = {n: keep(self.view(n), n) for n in ("file", "symbol", "external_ref", "unresolved_ref")}
+            edge = self.view("edge")
+            made["edge"] = keep(edge.repartitionByRange(PARTS, "kind", "dst").sortWithinPartitions("kind", "dst"), "edge", "kind")
+            made["edge_by_src"] = keep(made["edge"].repartitionByRange(PARTS, "kind", "src").sortWithinPartitions("kind", "src"), "edge_by_src", "kind")
+            made["fan"] = keep(traverse.fan_in(made["edge"]).repartitionByRange("id").sortWithinPartitions("id"), "fan")
+            made["p95"] = keep(traverse.p95(made["fan"]), "p95")
+            _written[state] = made
+        return _written[state]
+
     @cached_property
     def file(self) -> DataFrame:
-        return self.view("file")
+        return self.written["file"]
 
     @cached_property
     def symbol(self) -> DataFrame:
-        return self.view("symbol")
+        return self.written["symbol"]
 
     @cached_property
     def edge(self) -> DataFrame:
-        return self.view("edge")
+        return self.written["edge"]
+
+    @cached_property
+    def edge_by_src(self) -> DataFrame:
+        """The same edges, for patterns that start at the source."""
+        return self.written["edge_by_src"]
+
+    @cached_property
+    def fan(self) -> DataFrame:
+        return self.written["fan"]
+
+    @cached_property
+    def p95(self) -> int:
+        return self.written["p95"].first()[0]
 
     @cached_property
     def external(self) -> DataFrame:
-        return self.view("external_ref")
+        return self.written["external_ref"]
 
     @cached_property
     def unresolved(self) -> DataFrame:
-        return self.view("unresolved_ref")
+        return self.written["unresolved_ref"]

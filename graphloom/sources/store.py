@@ -19,20 +19,27 @@ SCHEMAS = {
     "unresolved_ref": "src long, name string, kind string, site_line int, candidates int, reason string",
     "embedding": "symbol_id long, model string, dim int, vector array<float>, input_hash string",
 }
+# Fixed values of the data model.
 KINDS = ["file", "module", "class", "interface", "type", "enum", "function", "method", "property", "variable", "test"]
 EDGES = ["CONTAINS", "IMPORTS", "CALLS", "REFERENCES", "IMPLEMENTS", "INHERITS", "TESTS"]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder that the cluster shares and read it back, to end its lineage."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder in local mode; an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return at.rstrip("/")
+
+
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the folder that the cluster shares and read it back, to end its lineage. by: a column of few values."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def location(base: str, root: str) -> str:
@@ -46,6 +53,9 @@ class Store:
 
     def create(self) -> Store:
         self.spark.createDataFrame([("schema_version", str(VERSION))], SCHEMAS["meta"]).write.parquet(f"{self.folder}/meta")
+        for name, schema in SCHEMAS.items():
+            if name != "meta":
+                self.write(name, self.spark.createDataFrame([], schema))
         return self
 
     def open(self) -> Store:
@@ -63,6 +73,29 @@ class Store:
         writer = df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("overwrite")
         (writer.partitionBy("kind") if name == "edge" else writer).parquet(f"{self.folder}/{name}")
 
+    def provenance(self, **versions: str | None) -> dict[str, str]:
+        """The meta table as a dict, after setting the given keys (None removes one)."""
+        held = {r.key: r.value for r in self.read("meta").collect()}
+        if versions:
+            held = {k: v for k, v in {**held, **versions}.items() if v is not None}
+            self.spark.createDataFrame(sorted(held.items()), SCHEMAS["meta"]).write.mode("overwrite").parquet(f"{self.folder}/meta")
+        return held
+
+    def embeddings(self, model: str) -> DataFrame:
+        """The vectors of one model."""
+        return self.read("embedding").where(F.col("model") == model)
+
+    def append(self, name: str, df: DataFrame, extractor: str | None = None) -> None:
+        """Add rows to a table. Edges get the extractor's version; symbols whose stable key is held or repeated abort the write."""
+        if name == "edge":
+            df = df.withColumn("extractor_version", F.lit(extractor)) if extractor else df
+        if name == "symbol":
+            clash = duplicates(self.read("symbol").select("stable_key").unionByName(df.select("stable_key"))).first()
+            if clash:
+                raise ValueError(f"stable key {clash.stable_key} occurs {clash['count']} times")
+        writer = df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")]).write.mode("append")
+        (writer.partitionBy("kind") if name == "edge" else writer).parquet(f"{self.folder}/{name}")
+
     def drop(self) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
