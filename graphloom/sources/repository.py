@@ -1,28 +1,34 @@
-"""Source trees as tables: scan, ignore rules, extraction of Python symbols."""
+"""Source trees as tables: scan, ignore rules, configuration."""
 
 from __future__ import annotations
 
-import ast
-import fnmatch
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".py", ".pyi", ".swift"]
-ALWAYS_IGNORED = ["node_modules", ".git", "dist", "build", "__pycache__", ".venv"]
+# The source files that are read, and the folders that never are (the engine's own among them).
+EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".swift", ".py", ".pyi"]
+ALWAYS_IGNORED = [".git", "node_modules", ".graphloom", "dist", "build", "out", ".next", ".turbo", "coverage", "__pycache__", ".venv"]
 
 
 def rule(pattern: str) -> tuple[str, bool]:
     """A gitignore-like line as a regular expression over relative paths, and whether it re-includes."""
     negated = pattern.startswith("!")
-    body = pattern.lstrip("!").rstrip("/")
+    body = pattern[negated:]
+    folder, body = body.endswith("/"), body.rstrip("/")
     anchored = "/" in body
-    regex = "".join(".*" if part == "**" else re.escape(part).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") for part in re.split(r"(\*\*)", body.lstrip("/")))
-    return ("^" if anchored else "(^|/)") + regex + "(/|$)", negated
+    regex = ""
+    for part in re.findall(r"\*\*/?|\*|\?|\[!?[^\]]+\]|.", body.lstrip("/"), re.S):
+        if part.startswith("**"):
+            regex += "(?:.*/)?" if part == "**/" else ".*"
+        elif len(part) > 2 and part.startswith("["):
+            regex += "[" + ("^" if part[1] == "!" else "") + part[1 + (part[1] == "!") : -1].replace("\\", "\\\\") + "]"
+        else:
+            regex += {"*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+    # a rule for a folder is one for what is below it
+    return ("^" if anchored else "(^|/)") + regex + ("/" if folder else "(/|$)"), negated
 
 
 def ignored(path: Column, lines: list[str]) -> Column:
@@ -54,62 +60,6 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = (), most: int = 2_0
     return rows.where(F.col("path").rlike("(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$") & ~F.col("path").endswith(".d.ts") & ~ignored(F.col("path"), list(ignore)))
 
 
-def symbols_of(path: str, source: bytes) -> tuple[str, list[tuple], list[tuple], list[tuple]]:
-    """parse state, symbols (name, kind, start, end, exported), references (scope, name, receiver, line), imports (local, imported, module, line) of a Python file."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return "failed", [], [], []
-    symbols, refs, imports = [], [], []
-
-    def visit(node: ast.AST, chain: list[str], inside: str) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "class" if isinstance(child, ast.ClassDef) else "method" if inside == "class" else "function"
-                name = ".".join([*chain, child.name])
-                symbols.append((name, kind, child.lineno, child.end_lineno, not child.name.startswith("_")))
-                for b in getattr(child, "bases", []):
-                    refs.append((name, ast.unparse(b).rpartition(".")[2], None, b.lineno, "INHERITS"))
-                visit(child, [*chain, child.name], "class" if kind == "class" else "function")
-                continue
-            if isinstance(child, ast.Call):
-                f = child.func
-                if isinstance(f, ast.Name):
-                    refs.append((".".join(chain), f.id, None, child.lineno, "CALLS"))
-                elif isinstance(f, ast.Attribute):
-                    refs.append((".".join(chain), f.attr, ast.unparse(f.value), child.lineno, "CALLS"))
-            if isinstance(child, ast.Import):
-                imports.extend((a.asname or a.name.partition(".")[0], "*", a.name, child.lineno) for a in child.names)
-            if isinstance(child, ast.ImportFrom):
-                imports.extend((a.asname or a.name, a.name, "." * child.level + (child.module or ""), child.lineno) for a in child.names)
-            if not chain and isinstance(child, (ast.Assign, ast.AnnAssign)):
-                for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
-                    if isinstance(t, ast.Name):
-                        symbols.append((t.id, "variable", child.lineno, child.end_lineno, not t.id.startswith("_")))
-            visit(child, chain, inside)
-
-    visit(tree, [], "module")
-    return "ok", symbols, refs, imports
-
-
-def is_test(path: str) -> bool:
-    name = path.rpartition("/")[2]
-    return any(fnmatch.fnmatch(name, p) for p in ("test_*.py", "*_test.py", "conftest.py")) or "tests" in path.split("/")[:-1]
-
-
-def extract_python(files: DataFrame) -> DataFrame:
-    """path, state and arrays of symbols, references and imports of scanned files; each file on its own."""
-    kinds = "symbols array<struct<qualified_name:string,kind:string,start_line:int,end_line:int,exported:boolean>>, refs array<struct<scope:string,name:string,receiver:string,line:int,kind:string>>, imports array<struct<local:string,imported:string,module:string,line:int>>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [symbols_of(p, bytes(c)) for p, c in zip(batch.path, batch.content, strict=True)]
-            names = (["qualified_name", "kind", "start_line", "end_line", "exported"], ["scope", "name", "receiver", "line", "kind"], ["local", "imported", "module", "line"])
-            yield pd.DataFrame({"path": batch.path, "state": [m[0] for m in made], **{c: [[dict(zip(n, x, strict=True)) for x in m[i]] for m in made] for i, (c, n) in enumerate(zip(("symbols", "refs", "imports"), names, strict=True), 1)}})
-
-    return files.where(F.col("path").rlike("\\.pyi?$")).select("path", "content").mapInPandas(run, "path string, state string, " + kinds)
-
-
 def load_config(read, path: str, seen: frozenset[str] = frozenset()) -> dict:
     """compilerOptions of a JSON-with-comments file, with its `extends` chain merged. read: path -> text."""
     import posixpath
