@@ -59,10 +59,10 @@ def under(path: Column, prefixes: list[str]) -> Column:
 
 
 def split_identifier(name: Column) -> Column:
-    """An identifier's parts, lower-cased, one space between."""
+    """An identifier's parts, lower-cased, one space between; white space of its own stays."""
     spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
     spaced = F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.trim(F.lower(F.regexp_replace(spaced, "[._/\\-\\s]+", " ")))
+    return F.trim(F.lower(F.regexp_replace(spaced, "[._\\-/]+", " ")))
 
 
 def signature(text: Column) -> Column:
@@ -105,3 +105,14 @@ def disposition(external: Column, unresolved_binding: Column, candidates: Column
         .when(candidates > cap, "UNRESOLVED")
         .otherwise("HEURISTIC")
     )
+
+
+def symbol_document(qualified: Column, kind: Column, path: Column, signature: Column, documentation: Column) -> Column:
+    """The text that stands for a symbol in a vector index: its name, the name's and the path's words, and what is known besides, a line each."""
+    parts = F.array(qualified, split_identifier(qualified), kind, split_identifier(F.regexp_replace(path, "\\.[^.]+$", "")), F.coalesce(signature, F.lit("")), F.coalesce(documentation, F.lit("")))
+    return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
+
+
+def by_tier(tier: Column, n: Column) -> Column:
+    """An aggregate: a map of the three tiers to sums, 0 for a tier without rows."""
+    return F.map_from_entries(F.array(*[F.struct(F.lit(t), F.coalesce(F.sum(F.when(tier == t, n)), F.lit(0)).cast("long")) for t in TIERS]))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.scalars import TIERS
+
 
 def precision_recall(actual: DataFrame, expected: DataFrame, by: str = "kind") -> DataFrame:
     """by, tp, fp, fn, precision, recall of two sets of equal rows; an empty denominator gives 1."""
@@ -33,6 +33,44 @@ def means(tasks: DataFrame, columns: list[str]) -> DataFrame:
     return tasks.agg(*[F.avg(c).alias(c) for c in columns], F.count("*").alias("tasks"))
 
 
-def evidence_pattern(name: str) -> re.Pattern:
-    """The same boundary rule for driver-side texts."""
-    return re.compile(rf"(?<![\w$]){re.escape(name)}(?![\w$])", re.I)
+def compare(actual: DataFrame, expected: DataFrame, by: list[str] = ()) -> DataFrame:
+    """kind, tp, fp, fn, precision and recall of edges (src, dst, kind), and a row `overall` of their sums.
+
+    Calls and heritage are references, too: the kind REFERENCES counts every actual edge, so
+    its rows and the others' overlap. by: columns that both tables have besides, compared apart.
+    """
+    keys = [*by, "src", "dst"]
+    kinds = actual.select(*by, "kind").union(expected.select(*by, "kind")).distinct()
+    wide = actual.select(*keys, "kind").union(actual.select(*keys, F.lit("REFERENCES").alias("kind"))).join(kinds, [*by, "kind"], "left_semi")
+    both = wide.distinct().withColumn("a", F.lit(1)).join(expected.select(*keys, "kind").distinct().withColumn("e", F.lit(1)), [*keys, "kind"], "full_outer")
+    n = lambda when: F.count(F.when(when, 1))
+    made = both.groupBy(*by, "kind").agg(n(F.col("a").isNotNull() & F.col("e").isNotNull()).alias("tp"), n(F.col("e").isNull()).alias("fp"), n(F.col("a").isNull()).alias("fn"))
+    whole = made.groupBy(*by).agg(F.lit("overall").alias("kind"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    share = lambda x: F.when(F.col("tp") + F.col(x) == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col(x)))
+    return made.unionByName(whole).withColumns({"precision": share("fp"), "recall": share("fn")})
+
+
+def by_tier(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """compare() of each tier alone with all that is expected, and of all edges as the tier ALL.
+
+    actual: src, dst, kind, tier. A tier's row of a kind that neither side has is left out.
+    """
+    tiers = [*TIERS, "ALL"]
+    each = actual.where(F.col("tier").isin(TIERS)).select("tier", "src", "dst", "kind").union(actual.select(F.lit("ALL").alias("tier"), "src", "dst", "kind"))
+    wanted = expected.select(F.explode(F.array(*map(F.lit, tiers))).alias("tier"), "src", "dst", "kind")
+    return compare(each, wanted, ["tier"])
+
+
+def hits(included: DataFrame, evidence: DataFrame) -> DataFrame:
+    """task, recall, hits by the tier of the first text that names each piece, and distractors named.
+
+    included: task, ordinal, tier (null: unranked), text; evidence: task, name, required.
+    """
+    found = mentions(included, evidence.select("task", "name"))
+    placed = found.join(included.select("task", F.col("ordinal").alias("first"), F.coalesce("tier", F.lit("unranked")).alias("tier"), F.lit(True).alias("hit")), ["task", "first"], "left")
+    told = evidence.join(placed.select("task", "name", "tier", F.coalesce("hit", F.lit(False)).alias("hit")), ["task", "name"], "left")
+    n = lambda when: F.count(F.when(when, 1))
+    required, hit = F.col("required"), F.col("hit")
+    tier = lambda t: n(required & hit & (F.col("tier") == t)).alias(t.lower())
+    recall = F.when(n(required) == 0, 1.0).otherwise(n(required & hit) / n(required))
+    return told.groupBy("task").agg(recall.alias("recall"), *map(tier, [*TIERS, "unranked"]), n(~required & hit).alias("distractors"))

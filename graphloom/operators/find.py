@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import under
+from graphloom.functions.scalars import symbol_document, under
 
 COLUMNS = ["short_name", "qualified_name", "signature"]
 
@@ -40,11 +44,15 @@ def full_text(symbol: DataFrame, query: str) -> DataFrame:
     return joined.select("id", score.alias("score"))
 
 
+def scoped(symbol: DataFrame, file: DataFrame, kinds: list[str] = (), paths: list[str] = ()) -> DataFrame:
+    """Symbols of the kinds and below the path prefixes, with `path`; none given means any."""
+    some = symbol.join(file.select(F.col("id").alias("file_id"), "path"), "file_id").where(under(F.col("path"), list(paths)))
+    return some.where(F.col("kind").isin(list(kinds))) if kinds else some
+
+
 def find(symbol: DataFrame, file: DataFrame, query: str, kinds: list[str] = (), paths: list[str] = (), limit: int = 20) -> DataFrame:
     """Symbols in three phases (exact qualified name, exact short name, full text); the first phase of a symbol counts."""
-    some = symbol.join(file.select(F.col("id").alias("file_id"), "path"), "file_id").where(under(F.col("path"), list(paths)))
-    if kinds:
-        some = some.where(F.col("kind").isin(list(kinds)))
+    some = scoped(symbol, file, kinds, paths)
     exact = some.where(F.col("qualified_name") == query).select("id", F.lit(0).alias("phase"), F.lit(0.0).alias("score"))
     short = some.where(F.col("short_name") == query).select("id", F.lit(1).alias("phase"), F.lit(0.0).alias("score"))
     # ranks come from the whole table, as a full-text index has them
@@ -71,6 +79,40 @@ def stale(symbol: DataFrame, embedding: DataFrame, model: str) -> DataFrame:
     return symbol.join(embedding.where(F.col("model") == model).select(F.col("symbol_id").alias("id")), "id", "left_anti")
 
 
+def embed(symbol: DataFrame, file: DataFrame, embedding: DataFrame, model: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 64) -> DataFrame:
+    """Rows of the embedding table for the symbols that lack one of the model.
+
+    embedder: texts to vectors, at most `size` texts at once; it runs in the executors.
+    """
+    made = stale(symbol, embedding, model).join(file.select(F.col("id").alias("file_id"), "path"), "file_id")
+    documentation = F.col("documentation") if "documentation" in symbol.columns else F.lit(None).cast("string")
+    texts = made.select("id", symbol_document(F.col("qualified_name"), F.col("kind"), F.col("path"), F.col("signature"), documentation).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), size):
+                some = batch.iloc[a : a + size]
+                vectors = embedder(some["text"].tolist())
+                hashes = [hashlib.sha256(t.encode()).hexdigest() for t in some["text"]]
+                yield pd.DataFrame({"symbol_id": some["id"], "model": model, "dim": [len(v) for v in vectors], "vector": [np.asarray(v, "float32") for v in vectors], "input_hash": hashes})
+
+    return texts.mapInPandas(run, "symbol_id long, model string, dim int, vector array<float>, input_hash string")
+
+
+def semantic(embedding: DataFrame, query: DataFrame, model: str, k: int = 20) -> DataFrame:
+    """The k symbols (id, score) whose vectors of a model are nearest to one query row (vector)."""
+    return nearest(embedding.where(F.col("model") == model).select(F.col("symbol_id").alias("id"), "vector"), query, k)
+
+
+def to_blob(vector: list[float]) -> bytes:
+    """A vector as little-endian 32-bit floats, for stores that hold blobs."""
+    return np.asarray(vector, "<f4").tobytes()
+
+
+def from_blob(blob: bytes) -> list[float]:
+    return np.frombuffer(blob, "<f4").tolist()
+
+
 def positions(scored: DataFrame, ranking: str, order: list[Column]) -> DataFrame:
     """A ranking's rows with their positions, for fuse(); partitioned by ranking."""
     return scored.withColumn("ranking", F.lit(ranking)).withColumn("position", F.row_number().over(Window.partitionBy("ranking").orderBy(*order)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import disposition, last_part, owner
@@ -10,28 +10,57 @@ from graphloom.functions.scalars import disposition, last_part, owner
 CAP = 8
 
 
-def candidates(refs: DataFrame, symbol: DataFrame, sdk: list[str] = ()) -> DataFrame:
-    """Each reference with its candidates (id is null without one), their number, and its tier.
+def tiers(refs: DataFrame, symbol: DataFrame, sdk: list[str] = ()) -> DataFrame:
+    """Each reference with `n`, the number of its candidates, `all`, that before narrowing, and its tier.
 
-    refs: ref, src, name, kind, site_line, module, receiver and optional binding_file,
-    binding_kind (file, external, unresolved) and receiver_type. symbol: id, short_name,
-    file_id, and optional visibility, module and qualified_name. Narrowing drops private
-    symbols of other files and, where the receiver's type is known, members of other owners.
+    refs: ref, src, src_file, name, kind, site_line, receiver, and optional binding_file,
+    binding_kind (file, external, unresolved), receiver_type, module and imported (modules).
+    symbol: id, short_name, file_id, visibility, qualified_name and optional module. Narrowing
+    drops private symbols of other files; for a reference without receiver those of modules
+    that are neither its own nor imported; and where the receiver's type is known members of
+    other owners. Symbols are counted by name, file, module, visibility and owner before they
+    meet the references, so a common name isn't multiplied out.
     """
-    known = symbol.select(F.col("id").alias("dst"), F.col("short_name").alias("name"), F.col("file_id").alias("dst_file"), "visibility", F.col("qualified_name").alias("dst_name"))
-    joined = refs.join(known, (refs.name == known.name) & F.coalesce(refs.binding_file == known.dst_file, F.lit(True)) & F.coalesce(refs.binding_kind == "file", refs.binding_kind.isNull(), F.lit(True)), "left").drop(known.name)
-    hidden = F.col("visibility").isin("private", "fileprivate") & (F.col("dst_file") != F.col("src_file"))
-    foreign = F.col("receiver_type").isNotNull() & (last_part(owner(F.col("dst_name"))) != F.col("receiver_type"))
-    dropped = F.coalesce(hidden, F.lit(False)) | F.coalesce(foreign, F.lit(False))
-    marked = joined.withColumn("keep", F.col("dst").isNotNull() & ~dropped)
-    whole = Window.partitionBy("ref")
-    counted = marked.withColumns({"n": F.count(F.when(F.col("keep"), 1)).over(whole), "all": F.count("dst").over(whole)})
+    known = symbol if "module" in symbol.columns else symbol.withColumn("module", F.lit(None).cast("string"))
+    for c, kind in (("module", "string"), ("imported", "array<string>")):
+        refs = refs if c in refs.columns else refs.withColumn(c, F.lit(None).cast(kind))
+    hidden = F.coalesce(F.col("visibility").isin("private", "fileprivate"), F.lit(False))
+    kinds = known.groupBy(F.col("short_name").alias("name"), F.col("file_id").alias("dst_file"), F.col("module").alias("dst_module"), hidden.alias("hidden"), last_part(owner(F.col("qualified_name"))).alias("tail")).agg(F.count("*").alias("copies"))
+    joined = refs.join(kinds, (refs.name == kinds.name) & _open(refs, F.col("dst_file")), "left").drop(kinds.name)
+    keep = _kept()
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("copies"))), F.lit(0)).cast("long")
+    counts = joined.groupBy("ref").agg(total(keep).alias("n"), total(F.lit(True)).alias("all"))
     tier = disposition(
         F.coalesce(F.col("binding_kind") == "external", F.lit(False)), F.coalesce(F.col("binding_kind") == "unresolved", F.lit(False)), F.col("n"), F.col("receiver").isNotNull(),
         F.coalesce(F.col("binding_kind") == "file", F.lit(False)), F.col("n") < F.col("all"), F.col("name").isin(list(sdk)) if sdk else F.lit(False), CAP,
     )
-    placed = counted.withColumn("tier", tier).withColumn("first", F.row_number().over(whole.orderBy(F.desc("keep"), "dst")))
-    return placed.where(F.col("keep") | ((F.col("n") == 0) & (F.col("first") == 1))).withColumn("confidence", F.when(F.col("tier") == "HEURISTIC", F.lit(1.0) / F.col("n")).when(F.col("tier") == "LEXICAL", 1.0))
+    return refs.join(counts, "ref").withColumn("tier", tier)
+
+
+def _open(refs: DataFrame, file: Column) -> Column:
+    """Whether a reference may have candidates in a file, by its binding."""
+    return F.coalesce(refs.binding_file == file, F.lit(True)) & F.coalesce(refs.binding_kind == "file", refs.binding_kind.isNull(), F.lit(True))
+
+
+def _kept() -> Column:
+    """Whether narrowing leaves a candidate, given as dst_file, dst_module, hidden and tail beside the reference."""
+    other = F.col("dst_module").isNotNull() & (F.col("dst_module") != F.col("module")) & ~F.coalesce(F.array_contains("imported", F.col("dst_module")), F.lit(False))
+    private = F.col("hidden") & (F.col("dst_file") != F.col("src_file"))
+    away = F.col("receiver").isNull() & F.coalesce(other, F.lit(False))
+    foreign = F.col("receiver").isNotNull() & F.col("receiver_type").isNotNull() & ~F.coalesce(F.col("tail") == last_part(F.col("receiver_type")), F.lit(False))
+    return F.col("dst_file").isNotNull() & ~F.coalesce(private, F.lit(False)) & ~away & ~foreign
+
+
+def candidates(refs: DataFrame, symbol: DataFrame, sdk: list[str] = ()) -> DataFrame:
+    """tiers() with the candidates (dst) of references that become edges: at most CAP rows each, others one with dst null."""
+    placed = tiers(refs, symbol, sdk)
+    known = symbol if "module" in symbol.columns else symbol.withColumn("module", F.lit(None).cast("string"))
+    hidden = F.coalesce(F.col("visibility").isin("private", "fileprivate"), F.lit(False))
+    each = known.select(F.col("id").alias("dst"), F.col("short_name").alias("_name"), F.col("file_id").alias("dst_file"), F.col("module").alias("dst_module"), hidden.alias("hidden"), last_part(owner(F.col("qualified_name"))).alias("tail"))
+    linked = placed.where(F.col("tier").isin("LEXICAL", "HEURISTIC"))
+    some = linked.join(each, (linked.name == F.col("_name")) & _open(linked, F.col("dst_file"))).where(_kept()).select(*placed.columns, "dst")
+    rest = placed.where(~F.col("tier").isin("LEXICAL", "HEURISTIC")).withColumn("dst", F.lit(None).cast("long"))
+    return some.unionByName(rest).withColumn("confidence", F.when(F.col("tier") == "HEURISTIC", F.lit(1.0) / F.col("n")).when(F.col("tier") == "LEXICAL", 1.0))
 
 
 def split(placed: DataFrame, failed: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -129,3 +158,59 @@ def collision_keys(rows: DataFrame) -> DataFrame:
     tagged = tagged.withColumn("k", F.row_number().over(Window.partitionBy("base", "hash").orderBy("start")))
     key = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("~"), "hash", F.when(F.col("k") > 1, F.concat(F.lit("~"), F.col("k").cast("string"))).otherwise("")))
     return tagged.select(*rows.columns, key.alias("stable_key"))
+
+
+def heuristic_sites(edge: DataFrame, symbol: DataFrame) -> DataFrame:
+    """Distinct (src, site_line, name, kind) of edges without proof; name: the target's."""
+    names = symbol.select(F.col("id").alias("dst"), F.col("short_name").alias("name"))
+    return edge.where("tier = 'HEURISTIC'").join(names, "dst").select("src", "site_line", "name", "kind").distinct()
+
+
+def query_sites(refs: DataFrame, unresolved: DataFrame, heuristic: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places to ask a compiler about, and the number of sites without a line.
+
+    refs: src, site_line, name, kind, column, ordinal, as extracted now; the first of a (src,
+    site_line, name) that has a column counts. unresolved, heuristic: src, site_line, name.
+    Returns src, site_line, name, kind, column and was_unresolved.
+    """
+    keys = ["src", "site_line", "name"]
+    sites = unresolved.select(*keys, F.lit(True).alias("u")).unionByName(heuristic.select(*keys, F.lit(False).alias("u")))
+    wanted = sites.where("site_line is not null").groupBy(*keys).agg(F.max("u").alias("was_unresolved"))
+    first = refs.where("column is not null").groupBy(*keys).agg(F.min_by(F.struct("kind", "column"), "ordinal").alias("r")).select(*keys, "r.*")
+    return first.join(wanted, keys), sites.where("site_line is null").agg(F.count("*").alias("skipped"))
+
+
+def declared_at(places: DataFrame, symbol: DataFrame) -> DataFrame:
+    """places (file_id, line) with `id`, the symbol with the smallest span that begins there, the first of equal ones."""
+    best = symbol.groupBy("file_id", F.col("start_line").alias("line")).agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), F.col("start_byte"), "id")).alias("b"))
+    return places.join(best.select("file_id", "line", "b.id"), ["file_id", "line"], "left")
+
+
+def settle(edge: DataFrame, external: DataFrame, unresolved: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tables after a compiler's answers, and one row of counts.
+
+    answers: src, name, kind, site_line, dst (null: outside, then package), was_unresolved. An
+    answer removes the competing HEURISTIC edges of its site, proves or adds its own edge or
+    external reference, and clears the unresolved rows of its source and name, whatever their
+    line; those beyond the answered ones are counted as extra.
+    """
+    inside = answers.where("dst is not null")
+    settled = settle_sites(edge, answers.select("src", "kind", "site_line", "dst"))
+    fresh = inside.select("src", "dst", "kind", F.lit("COMPILER").alias("tier"), F.lit(1.0).alias("confidence"), "site_line").distinct()
+    outside = answers.where("dst is null").select("src", "name", "package", "site_line")
+    groups = answers.where("was_unresolved").groupBy("src", "name").agg(F.count("*").alias("expected"))
+    removed = unresolved.join(groups, ["src", "name"]).groupBy("src", "name", "expected").agg(F.count("*").alias("removed"))
+    extra = removed.agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("unresolved_cleared"), F.coalesce(F.sum(F.greatest(F.lit(0), F.col("removed") - F.col("expected"))), F.lit(0)).alias("extra_cleared"))
+    done = answers.agg(F.count("dst").alias("upgraded"), F.count(F.when(F.col("dst").isNull(), 1)).alias("externalized"))
+    left = unresolved.join(groups, ["src", "name"], "left_anti")
+    return insert_absent(settled, fresh, by_line=True), external.unionByName(outside), left, done.crossJoin(extra)  # one row each
+
+
+def unresolved_report(unresolved: DataFrame, names: int = 10) -> DataFrame:
+    """reason, n, its share of all, and its most frequent names."""
+    by_name = unresolved.groupBy("reason", "name").agg(F.count("*").alias("n"))
+    top = by_name.withColumn("r", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("n"), "name"))).where(F.col("r") <= names)
+    listed = top.groupBy("reason").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("names"))  # `names` a reason
+    counts = by_name.groupBy("reason").agg(F.sum("n").alias("n"))
+    whole = counts.agg(F.sum("n").alias("whole"))
+    return counts.join(listed, "reason").crossJoin(F.broadcast(whole)).select("reason", "n", (F.col("n") / F.col("whole")).alias("share"), "names")  # one row
