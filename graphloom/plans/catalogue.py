@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ def _patterns() -> None:
         here, there = ("dst", "src") if reverse else ("src", "dst")
         some = ", ".join(f"'{k}'" for k in kinds)
 
-        def run(spark: SparkSession, folder: str, pattern: str = pattern) -> DataFrame:
+        def run(spark: SparkSession, folder: str, pattern: str = pattern, reverse: bool = reverse) -> DataFrame:
             g = Graph(spark, folder)
-            return traverse.neighbours(g.edge, g.symbol, g.file, pattern, SEEDS[pattern]).select("id", "stable_key", "path", "edge_kind", "tier", "site_line", "fan_in", F.round("score", 9).alias("score"))
+            return traverse.neighbours(g.edge if reverse else g.edge_by_src, g.symbol, g.file, pattern, SEEDS[pattern], fan=g.fan, most=g.p95).select("id", "stable_key", "path", "edge_kind", "tier", "site_line", "fan_in", F.round("score", 9).alias("score"))
 
         QUERIES[pattern] = run
         ORACLES[pattern] = duck(
@@ -55,12 +56,12 @@ _patterns()
 
 @query("SELECT CAST(p95 AS BIGINT) AS p95 FROM p", FAN)
 def fan_in_p95(g: Graph) -> DataFrame:
-    return traverse.fan_in_p95(g.edge)
+    return traverse.p95(g.fan)
 
 
 @query(f"SELECT s.id, {SCORE.format(d=2)} AS score FROM symbol s LEFT JOIN fan ON fan.id = s.id CROSS JOIN p", FAN)
 def ranked_score(g: Graph) -> DataFrame:
-    joined = g.symbol.join(traverse.fan_in(g.edge), "id", "left").crossJoin(F.broadcast(traverse.fan_in_p95(g.edge)))  # one row
+    joined = g.symbol.join(g.fan, "id", "left").crossJoin(F.broadcast(traverse.p95(g.fan)))  # one row
     return joined.select("id", F.round(S.score(2, F.coalesce("fan_in", F.lit(0)), F.col("p95"), F.col("exported")), 9).alias("score"))
 
 
@@ -206,13 +207,14 @@ def seed_resolution(g: Graph) -> DataFrame:
     return traverse.seed(g.symbol, "Customer#000000005").union(traverse.seed(g.symbol, "small ring"))
 
 
-@query(f"SELECT b.id, b.depth, b.tier, {SCORE.format(d='b.depth')} AS score FROM (SELECT e.src AS id, d.depth, min_by(e.tier, {RANK}) AS tier FROM dep d JOIN edge e ON e.src = d.id AND e.kind IN {USAGE} JOIN dep t ON t.id = e.dst AND t.depth = d.depth - 1 GROUP BY 1, 2) b JOIN symbol s ON s.id = b.id LEFT JOIN fan ON fan.id = b.id CROSS JOIN p",
-       FAN + f", bfs AS (SELECT CAST(3000007 AS BIGINT) AS id, CAST(0 AS BIGINT) AS depth UNION SELECT e.src, b.depth + 1 FROM bfs b JOIN edge e ON e.dst = b.id AND e.kind IN {USAGE} WHERE b.depth < 6), dep AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY id)")
+@query(f"SELECT b.id, b.depth, b.tier, {SCORE.format(d='b.depth')} AS score, CASE WHEN EXISTS (SELECT 1 FROM dep WHERE depth > 6) THEN 'depth 6 reached' ELSE '' END AS warnings FROM (SELECT e.src AS id, d.depth, min_by(e.tier, {RANK}) AS tier FROM dep d JOIN edge e ON e.src = d.id AND e.kind IN {USAGE} JOIN dep t ON t.id = e.dst AND t.depth = d.depth - 1 WHERE d.depth <= 6 GROUP BY 1, 2) b JOIN symbol s ON s.id = b.id LEFT JOIN fan ON fan.id = b.id CROSS JOIN p",
+       FAN + f", bfs AS (SELECT CAST(3000007 AS BIGINT) AS id, CAST(0 AS BIGINT) AS depth UNION SELECT e.src, b.depth + 1 FROM bfs b JOIN edge e ON e.dst = b.id AND e.kind IN {USAGE} WHERE b.depth < 7), dep AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY id)")
 def impact_radius(g: Graph) -> DataFrame:
-    return impact.radius(g.edge, g.symbol, [3000007], nodes=100_000)[0].select("id", "depth", "tier", F.round("score", 9).alias("score"))
+    rows, warnings = impact.radius(g.edge, g.symbol, [3000007], nodes=100_000, fan=g.fan, most=g.p95)
+    return rows.select("id", "depth", "tier", F.round("score", 9).alias("score"), F.lit("; ".join(warnings)).alias("warnings"))
 
 
-REFS = "SELECT event_id AS ref, 2000000 + user_id AS src, CAST(user_id % 25 AS BIGINT) AS src_file, p_name AS name, 'CALLS' AS kind, event_id % 7 AS site_line, CASE WHEN event_id % 3 = 0 THEN 'x' END AS receiver, CASE WHEN event_id % 4 = 1 THEN CAST(event_id % 25 AS BIGINT) END AS binding_file, CASE event_id % 4 WHEN 1 THEN 'file' WHEN 2 THEN CASE WHEN event_id % 8 = 2 THEN 'external' ELSE 'unresolved' END END AS binding_kind FROM {events} JOIN {part} ON p_partkey = event_id"
+REFS = "SELECT event_id AS ref, 2000000 + user_id AS src, CAST(user_id % 25 AS BIGINT) AS src_file, p_name AS name, 'CALLS' AS kind, event_id % 7 AS site_line, CASE WHEN event_id % 3 = 0 THEN 'x' END AS receiver, CASE WHEN event_id % 4 = 1 THEN CAST(event_id % 25 AS BIGINT) END AS binding_file, CASE event_id % 4 WHEN 1 THEN 'file' WHEN 2 THEN CASE WHEN event_id % 8 = 2 THEN 'external' ELSE 'unresolved' END END AS binding_kind FROM {events} JOIN {part} ON p_partkey = event_id % (SELECT count(*) FROM {part})"
 
 
 def _refs(g: Graph) -> DataFrame:
@@ -229,7 +231,7 @@ def _known(g: Graph) -> DataFrame:
 FROM (SELECT q.ref, q.binding_kind, q.receiver, count(s.id) AS allc, count(CASE WHEN s.id % 9 = 0 AND s.file_id <> q.src_file THEN NULL ELSE s.id END) AS n
   FROM refs q LEFT JOIN symbol s ON s.kind = 'function' AND s.short_name = q.name AND (q.binding_file IS NULL OR q.binding_file = s.file_id) AND (q.binding_kind IS NULL OR q.binding_kind = 'file') GROUP BY 1, 2, 3)""", "refs AS (" + REFS.format(events="events", part="part") + ")")
 def candidate_tiering(g: Graph) -> DataFrame:
-    return resolve.candidates(_refs(g), _known(g)).select("ref", "n", "tier").distinct()
+    return resolve.tiers(_refs(g), _known(g)).select("ref", "n", "tier")
 
 
 @query("SELECT p.src AS src, p.dst AS dst FROM (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM edge t JOIN edge a ON a.src = t.src AND a.kind = 'CONTAINS' JOIN symbol x ON x.id = a.dst JOIN edge b ON b.src = t.dst AND b.kind = 'CONTAINS' JOIN symbol y ON y.id = b.dst WHERE t.kind IN ('IMPLEMENTS', 'INHERITS') AND x.start_line = y.start_line AND a.dst <> b.dst) p")
@@ -239,9 +241,9 @@ def member_implements(g: Graph) -> DataFrame:
     return resolve.members(g.edge, named).select("src", "dst")
 
 
-@query("SELECT coalesce(p.id, f.id) AS src, c.id AS dst FROM symbol c LEFT JOIN symbol p ON p.file_id = c.file_id AND p.qualified_name = regexp_extract(c.qualified_name, '^(.*)\\.', 1) AND p.kind <> 'file' JOIN symbol f ON f.kind = 'file' AND f.file_id = c.file_id WHERE c.kind IN ('class', 'method')")
+@query("SELECT coalesce(p.id, f.id) AS src, c.id AS dst FROM symbol c LEFT JOIN symbol p ON p.file_id = c.file_id AND p.qualified_name = regexp_extract(c.qualified_name, '^(.*)\\.', 1) AND p.kind <> 'file' JOIN symbol f ON f.kind = 'file' AND f.file_id = c.file_id WHERE c.kind <> 'file'")
 def containment_edges(g: Graph) -> DataFrame:
-    return resolve.containment(g.symbol.where("kind in ('class', 'method', 'file')")).select("src", "dst")
+    return resolve.containment(g.symbol).select("src", "dst")
 
 
 @query("SELECT src, dst, min_by(site_line, ordinal) AS site_line FROM (SELECT l_suppkey % 25 AS src, l_partkey % 25 AS dst, l_orderkey * 10 + l_linenumber * 1.0 AS ordinal, CAST(l_linenumber AS BIGINT) AS site_line FROM lineitem WHERE l_suppkey % 25 <> l_partkey % 25 GROUP BY ALL) GROUP BY 1, 2")
@@ -265,13 +267,14 @@ def tier_promotion(g: Graph) -> DataFrame:
     return resolve.promote(g.edge, g.unresolved, proof)[0].groupBy("tier").agg(F.count("*").alias("n"))
 
 
-SNAPSHOT = "SELECT concat('f', CAST(user_id AS STRING)) AS path, count(*) AS size, CAST(max(event_id) AS DOUBLE) AS mtime, CAST(sum(event_id) AS STRING) AS hash FROM {events} WHERE {when} GROUP BY user_id"
+# all events enter both snapshots; of eleven users one has moved, of five one has more, of seven one was only touched
+BEFORE = "SELECT concat('f', CAST(user_id AS STRING)) AS path, count(*) AS size, CAST(max(event_id) AS DOUBLE) AS mtime, CAST(sum(event_id) AS STRING) AS hash FROM {events} GROUP BY user_id"
+AFTER = "SELECT concat(CASE WHEN user_id % 11 = 0 THEN 'g' ELSE 'f' END, CAST(user_id AS STRING)) AS path, count(*) + CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS size, CAST(max(event_id) + CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS mtime, concat(CAST(sum(event_id) AS STRING), CASE WHEN user_id % 5 = 0 THEN 'x' ELSE '' END) AS hash FROM {events} GROUP BY user_id"
 
 
-@query("SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'deleted' WHEN (a.size = b.size AND a.mtime = b.mtime) OR a.hash = b.hash THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.path = b.path", f"a AS ({SNAPSHOT.format(events='events', when='event_id % 3 = 0')}), b AS ({SNAPSHOT.format(events='events', when='event_id % 3 = 0 AND event_id % 90 <> 0 OR event_id % 200 = 1')})")
+@query("SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'deleted' WHEN (a.size = b.size AND a.mtime = b.mtime) OR a.hash = b.hash THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.path = b.path", f"a AS ({BEFORE.format(events='events')}), b AS ({AFTER.format(events='events')})")
 def drift_full_outer(g: Graph) -> DataFrame:
-    events = g.table("events")
-    before, after = (g.spark.sql(SNAPSHOT.replace("{when}", w), events=events) for w in ("event_id % 3 = 0", "event_id % 3 = 0 AND event_id % 90 <> 0 OR event_id % 200 = 1"))
+    before, after = (g.spark.sql(x, events=g.table("events")) for x in (BEFORE, AFTER))
     return drift.changes(before, after)
 
 
@@ -281,14 +284,14 @@ def cosine_topk(g: Graph) -> DataFrame:
     return find.nearest(rows, rows.where("id = 0").select("vector")).select("id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT item, round(sum(1.0 / (60 + position)), 9) AS score FROM (SELECT c_custkey AS item, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer WHERE c_nationkey = 3 UNION ALL SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC) FROM customer WHERE c_nationkey = 3) GROUP BY item")
+@query("SELECT item, round(sum(1.0 / (60 + position)), 9) AS score FROM (SELECT c_custkey AS item, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer UNION ALL SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC) FROM customer) GROUP BY item")
 def rrf(g: Graph) -> DataFrame:
-    some = g.table("customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("item"), "c_acctbal", "c_name")
+    some = g.table("customer").select(F.col("c_custkey").alias("item"), "c_acctbal", "c_name")
     one, two = find.positions(some, "a", [F.desc("c_acctbal"), F.col("item")]), find.positions(some, "b", [F.desc("c_name")])
     return find.fuse(one.union(two)).select("item", F.round("score", 9).alias("score"))
 
 
-@query(r"SELECT c_custkey AS id, trim(lower(regexp_replace(regexp_replace(regexp_replace(concat('get', c_mktsegment, 'Value_of.', c_name), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[._/\-\s]+', ' ', 'g'))) AS words FROM customer")
+@query(r"SELECT c_custkey AS id, trim(lower(regexp_replace(regexp_replace(regexp_replace(concat('get', c_mktsegment, 'Value_of.', c_name), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[._\-/]+', ' ', 'g'))) AS words FROM customer")
 def identifier_split(g: Graph) -> DataFrame:
     return g.table("customer").select(F.col("c_custkey").alias("id"), S.split_identifier(F.concat(F.lit("get"), "c_mktsegment", F.lit("Value_of."), "c_name")).alias("words"))
 
@@ -320,10 +323,10 @@ def body_hash_verify(g: Graph) -> DataFrame:
     return budget.verified(symbols, docs.select(F.col("id").alias("file"), "content"))
 
 
-@query("SELECT id FROM symbol WHERE kind = 'interface' AND id % 4 <> 0")
+@query("SELECT id FROM symbol WHERE id % 4 <> 0")
 def stale_embeddings(g: Graph) -> DataFrame:
     made = g.symbol.where("id % 4 = 0").select(F.col("id").alias("symbol_id"), F.lit("m").alias("model"))
-    return find.stale(g.symbol.where("kind = 'interface'"), made, "m").select("id")
+    return find.stale(g.symbol, made, "m").select("id")
 
 
 @query("SELECT id, CASE WHEN n = 1 THEN base ELSE concat(base, '~', h, CASE WHEN k > 1 THEN concat('~', CAST(k AS STRING)) ELSE '' END) END AS stable_key FROM (SELECT *, count(*) OVER (PARTITION BY base) AS n, row_number() OVER (PARTITION BY base, h ORDER BY start) AS k FROM (SELECT p_partkey AS id, p_name AS base, substr(sha256(p_type), 1, 8) AS h, p_partkey AS start FROM part))")
@@ -340,11 +343,11 @@ def enclosing_symbol(g: Graph) -> DataFrame:
     return resolve.enclosing(points, spans.groupBy("file", "start", "end").agg(F.max("key").alias("key")))
 
 
-@query("SELECT p.owner, p.name, p.at, max_by(b.type, b.start) AS type FROM (SELECT DISTINCT user_id AS owner, event_type AS name, event_id AS at FROM events WHERE event_id % 2 = 0) p LEFT JOIN (SELECT user_id AS owner, event_type AS name, event_id AS start, props AS type FROM events WHERE event_id % 3 = 0) b ON b.owner = p.owner AND b.name = p.name AND b.start <= p.at GROUP BY 1, 2, 3")
+@query("SELECT p.owner, p.name, p.at, max_by(b.type, b.start) AS type FROM (SELECT DISTINCT user_id AS owner, event_type AS name, event_id AS at FROM events) p LEFT JOIN (SELECT user_id AS owner, event_type AS name, event_id + 1 AS start, props AS type FROM events) b ON b.owner = p.owner AND b.name = p.name AND b.start <= p.at GROUP BY 1, 2, 3")
 def as_of_binding(g: Graph) -> DataFrame:
     rows = g.table("events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("name"), "event_id", "props")
-    points = rows.where("event_id % 2 = 0").select("owner", "name", F.col("event_id").alias("at"))
-    return resolve.as_of(points, rows.where("event_id % 3 = 0").select("owner", "name", F.col("event_id").alias("start"), F.col("props").alias("type")))
+    points = rows.select("owner", "name", F.col("event_id").alias("at"))
+    return resolve.as_of(points, rows.select("owner", "name", (F.col("event_id") + 1).alias("start"), F.col("props").alias("type")))
 
 
 EXPORTS = "SELECT concat('m', CAST(n_nationkey AS STRING)) AS file, concat('x', CAST(n_nationkey % 4 AS STRING)) AS name, CAST(NULL AS STRING) AS source, false AS star, CAST(0 AS BIGINT) AS ordinal FROM {nation} UNION ALL SELECT concat('m', CAST(n_nationkey AS STRING)), CAST(NULL AS STRING), concat('m', CAST(n_nationkey - 3 AS STRING)), true, CAST(1 AS BIGINT) FROM {nation} WHERE n_nationkey >= 3"
@@ -356,7 +359,7 @@ def export_map_star(g: Graph) -> DataFrame:
     return link.export_map(g.spark.sql(EXPORTS, nation=g.table("nation")))
 
 
-@query("SELECT page_id AS ref, CASE WHEN (page_id * 7) % 25 % 8 <> 7 THEN concat('src/', lower(replace(r_name, ' ', '_')), '/', lower(n_name), '.ts') END AS path, CAST(NULL AS STRING) AS package FROM pages JOIN nation ON n_nationkey = (page_id * 7) % 25 JOIN region ON r_regionkey = n_regionkey")
+@query("SELECT page_id AS ref, CASE WHEN (page_id * 7) % 25 % 8 <> 7 THEN concat('src/', lower(replace(r_name, ' ', '_')), '/', lower(n_name), '.ts') END AS path, CASE WHEN (page_id * 7) % 25 % 8 = 7 THEN concat('../', lower(replace(r_name, ' ', '_')), '/./', lower(n_name)) END AS package FROM pages JOIN nation ON n_nationkey = (page_id * 7) % 25 JOIN region ON r_regionkey = n_regionkey")
 def specifier_resolution(g: Graph) -> DataFrame:
     target = g.table("nation").join(g.table("region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("k"), F.concat(F.lit("../"), F.lower(F.regexp_replace("r_name", " ", "_")), F.lit("/./"), F.lower("n_name")).alias("specifier"))
     refs = g.table("pages").select(F.col("page_id").alias("ref"), F.lit("src/asia/x.ts").alias("path"), ((F.col("page_id") * 7) % 25).alias("k")).join(target, "k")
@@ -374,12 +377,17 @@ def unresolved_reasons(g: Graph) -> DataFrame:
     return g.unresolved.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id FROM symbol WHERE kind = 'class' AND file_id NOT IN (SELECT id FROM file WHERE path LIKE 'src/asia/%')")
+@query("""SELECT 'file' AS name, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM file WHERE path NOT LIKE 'src/asia/%' UNION ALL SELECT 'symbol', count(*), CAST(sum(id) AS BIGINT) FROM symbol WHERE id NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'edge', count(*), CAST(sum(src + dst) AS BIGINT) FROM edge WHERE src NOT IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead) UNION ALL SELECT 'external', count(*), CAST(sum(src) AS BIGINT) FROM external_ref WHERE src NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'unresolved', count(*), CAST(sum(src) AS BIGINT) FROM unresolved_ref WHERE src NOT IN (SELECT id FROM dead)""", "dead AS (SELECT s.id FROM symbol s JOIN file f ON f.id = s.file_id WHERE path LIKE 'src/asia/%')")
 def cascade_delete(g: Graph) -> DataFrame:
+    """What every table keeps when one folder's files go."""
     from graphloom.sources.store import cascade
 
-    _, left, _ = cascade(g.file, g.symbol, {}, g.file.where(F.col("path").startswith("src/asia/")).select("path"))
-    return left.where("kind = 'class'").select("id")
+    file, symbol, left = cascade(g.file, g.symbol, {"edge": g.edge, "external": g.external, "unresolved": g.unresolved}, g.file.where(F.col("path").startswith("src/asia/")).select("path"))
+    sums = {"file": (file, F.col("id")), "symbol": (symbol, F.col("id")), "edge": (left["edge"], F.col("src") + F.col("dst")), "external": (left["external"], F.col("src")), "unresolved": (left["unresolved"], F.col("src"))}
+    rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(c).alias("total")) for name, (df, c) in sums.items()]
+    return reduce(DataFrame.unionAll, rows)
 
 
 @query('SELECT "column", path, row_number() OVER (PARTITION BY "column" ORDER BY path) - 1 AS "row" FROM (SELECT id % 3 AS "column", path FROM file)')

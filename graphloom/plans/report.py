@@ -7,6 +7,7 @@ and dependencies. What a limit leaves out is always told.
 from __future__ import annotations
 
 import html
+import json
 import math
 import os
 
@@ -58,6 +59,28 @@ def document(title: str, deps: DataFrame, summaries: DataFrame, surface: DataFra
     return "\n".join(lines) + "\n"
 
 
+def collapsed(rows: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def module_page(module: str, deps: DataFrame, summaries: DataFrame, surface: DataFrame, incoming: DataFrame, most: int = TABLE) -> str:
+    """Markdown of one module: its size, what it uses and is used by, and its names that others use."""
+    own = summaries.where(F.col("module") == module).first()
+    if own is None:
+        return f"{MARK}\n# {module}\n\nNo such module.\n"
+    names = surface.where(F.col("module") == module).first()
+    lines = [MARK, f"# {module}", "", f"{own.files} files, {own.symbols} symbols, {own.test_symbols} of them tests.", ""]
+    for head, here, there in (("Uses", "source", "target"), ("Used by", "target", "source")):
+        rows = ordered(deps.where(F.col(here) == module)).limit(most + 1).collect()
+        lines += [f"## {head}", "", *_table(["Module", "Compiler", "Lexical", "Heuristic", "Evidence"], [(r[there], r.compiler, r.lexical, r.heuristic, r.evidence) for r in rows[:most]])]
+        lines += ["", f"More than {most} modules; the others are left out.", ""] if len(rows) > most else [""]
+    rows = incoming.where(F.col("module") == module).orderBy("name").limit(most + 1).collect()
+    lines += ["## Names that others use", "", f"Most used: {names.names if names else 'none'}", "", *_table(["Name", "Users"], [(r.name, r.users) for r in rows[:most]])]
+    lines += ["", f"More than {most} names; the others are left out."] if len(rows) > most else []
+    return "\n".join(lines) + "\n"
+
+
 def layout(deps: DataFrame, summaries: DataFrame, most: int = 200) -> tuple[list[dict], list[dict]]:
     """Placed modules and weighted dependencies of the `most` largest modules.
 
@@ -82,6 +105,24 @@ def layout(deps: DataFrame, summaries: DataFrame, most: int = 200) -> tuple[list
     return placed, links
 
 
+def left_out(summaries: DataFrame, most: int = 200) -> int:
+    """The modules beyond the `most` that layout() places."""
+    return max(0, summaries.count() - most)
+
+
+def structure(deps: DataFrame, summaries: DataFrame, most: int = 200) -> dict:
+    """The map's model as plain data: placed modules, links, what was left out, and a page of each link's evidence."""
+    placed, links = layout(deps, summaries, most)
+    return {"modules": placed, "links": links, "omitted": left_out(summaries, most)}
+
+
+def page(title: str, model: dict) -> str:
+    """A self-contained HTML document of structure(): the map, what it leaves out, and its data as JSON."""
+    data = json.dumps(model, sort_keys=True).replace("<", "\\u003c")  # no tag can end the script
+    told = f"<p>{model['omitted']} smaller modules are left out.</p>" if model["omitted"] else ""
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body>{MARK}<h1>{html.escape(title)}</h1>{told}{svg(model["modules"], model["links"])}<script type="application/json" id="model">{data}</script></body></html>\n'
+
+
 def svg(placed: list[dict], links: list[dict], step: int = 160) -> str:
     """A map of layout(): solid lines for resolved dependencies, dashed ones for weak."""
     at = {p["module"]: (step * (p["column"] + 1), step * (p["row"] + 1) // 2) for p in placed}
