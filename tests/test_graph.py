@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as S
 from graphloom.operators import budget, drift, evaluate, find, impact, link, resolve, traverse
 from graphloom.sources import repository, store
+from graphloom.sources.extract import extracted
 
 SYMBOL = "id long, stable_key string, file_id long, qualified_name string, short_name string, kind string, signature string, exported boolean, is_test boolean"
 EDGE = "src long, dst long, kind string, tier string, confidence double, site_line long"
@@ -119,10 +120,10 @@ def test_python_extraction_and_scan(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "x.py").write_text("x = 1\n")
     files = repository.scan(spark, str(tmp_path), ["*.tmp"])
-    rows = {r.path: r for r in repository.extract_python(files).collect()}
+    rows = {r.path: r for r in extracted(files).collect()}
     assert set(rows) == {"pkg/a.py", "pkg/bad.py"} and rows["pkg/bad.py"].state == "failed"
     assert [s.qualified_name for s in rows["pkg/a.py"].symbols] == ["K", "K.run"]
-    assert {(r.name, r.kind) for r in rows["pkg/a.py"].refs} == {("Base", "INHERITS"), ("d", "CALLS"), ("getcwd", "CALLS")}
+    assert [(r.name, r.receiver, r.kind) for r in rows["pkg/a.py"].refs] == [("Base", None, "INHERITS"), ("d", None, "CALLS"), ("getcwd", "os", "CALLS")]
     with pytest.raises(ValueError):
         repository.contained("/r", "../x")
 
