@@ -17,6 +17,7 @@ each of its words.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -185,14 +186,17 @@ def cut(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, ids
     return by_batch(source, _cut(tokenizer, end, capacity, ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids, caches=True)
 
 
-def fill(room: int, sizes: list[int], left: dict[int, int], effort: int = 400) -> tuple[int, ...]:
+#: Nodes that the search for one filling visits at most; without bound it may take exponential time.
+EFFORT = 400
+
+
+def fill(room: int, sizes: list[int], left: dict[int, int], effort: int | None = EFFORT) -> tuple[int, ...]:
     """The filling of `room` with the least waste, longest pieces first among equals.
 
-    sizes: the available lengths, descending. effort: nodes to visit at most; the incumbent,
-    best fit decreasing to begin with, is then used.
+    sizes: the available lengths, descending. effort: nodes to visit at most (None: all); the
+    incumbent, best fit decreasing to begin with, is then used, and made undominated.
     """
-    import bisect
-
+    start = room
     negative = [-s for s in sizes]
 
     def best_fit(room: int) -> list[int]:
@@ -218,7 +222,7 @@ def fill(room: int, sizes: list[int], left: dict[int, int], effort: int = 400) -
             best, waste = list(stack), room
         at = max(at, bisect.bisect_left(negative, -room))
         low = sizes[-1] if sizes else 0
-        while at < len(sizes) and waste and nodes < effort:
+        while at < len(sizes) and waste and (effort is None or nodes < effort):
             s = sizes[at]
             at += 1
             if stack.count(s) < left[s]:
@@ -232,13 +236,42 @@ def fill(room: int, sizes: list[int], left: dict[int, int], effort: int = 400) -
 
     if waste:
         search(0, room)
-    return tuple(best)
+    return undominated(best, start, sizes, left) if waste else tuple(best)
+
+
+def undominated(chosen: list[int], room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, ...]:
+    """A filling that no exchange of a piece for a longer one, or piece put in besides, improves.
+
+    Such an exchange leaves the shorter piece for later, so the filling it leads to dominates
+    the one before. The best of a search that wasn't cut off has none.
+    """
+    chosen, waste = sorted(chosen, reverse=True), room - sum(chosen)
+    used: dict[int, int] = {}
+    for s in chosen:
+        used[s] = used.get(s, 0) + 1
+    negative = [-s for s in sizes]
+    again = True
+    while again and waste:
+        again = False
+        for out in (0, *dict.fromkeys(reversed(chosen))):
+            # the longest piece that has room in the place of `out`, and is longer
+            at = bisect.bisect_left(negative, -(out + waste))
+            while at < len(sizes) and sizes[at] > out and used.get(sizes[at], 0) >= left[sizes[at]]:
+                at += 1
+            if at < len(sizes) and sizes[at] > out:
+                if out:
+                    chosen.remove(out)
+                    used[out] -= 1
+                bisect.insort(chosen, sizes[at], key=lambda s: -s)
+                used[sizes[at]] = used.get(sizes[at], 0) + 1
+                waste -= sizes[at] - out
+                again = True
+                break
+    return tuple(chosen)
 
 
 def best_fit(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int, ...], int]]:
     """The same as `plan`, by best fit decreasing."""
-    import bisect
-
     rooms: list[int] = []
     held: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room, fillings and how many sequences have them
 
@@ -268,7 +301,7 @@ def best_fit(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[i
     return [x for room in rooms for x in held[room]]
 
 
-def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = 4096, effort: int | None = EFFORT) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how many sequences use each, for pieces of the given lengths.
 
     A best-fit packing of the whole is the incumbent: it is kept where it needs fewer sequences.
@@ -280,7 +313,7 @@ def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[tuple[int,
         longest = sizes[0]
         left[longest] -= 1
         rest = [s for s in sizes if left[s]]
-        chosen = (longest, *fill(capacity - longest, rest, left))
+        chosen = (longest, *fill(capacity - longest, rest, left, effort))
         left[longest] += 1
         need: dict[int, int] = {}
         for s in chosen:
@@ -318,7 +351,7 @@ def _assign(made: list[tuple[tuple[int, ...], int]]):
     return run
 
 
-def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 4096, effort: int | None = EFFORT) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with doc_id, piece, length and ids_crc32."""
     parts = max(PARTS, pieces.count() // PART)
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
@@ -330,7 +363,7 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     ranked = dealt.withColumn("own", own).join(before.select("length", "part", "before"), ["length", "part"])
     ranked = ranked.select(*pieces.columns, (F.col("own") + F.col("before")).cast("long").alias("rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return by_batch(ranked, _assign(plan(counts, capacity)), schema)
+    return by_batch(ranked, _assign(plan(counts, capacity, effort)), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 4096, ids: bool = False) -> DataFrame:
