@@ -410,6 +410,22 @@ def test_packing_plan_against_brute_force():
         assert sum(chosen) == max(x for x in sums if x <= capacity)
 
 
+def test_fillings_are_undominated():
+    """No piece left over fits in the waste, or in a shorter one's place with it; the search may be cut off anywhere."""
+    random.seed(8)
+    for _ in range(500):
+        room = random.randint(5, 60)
+        counts = collections.Counter(random.randint(1, room) for _ in range(random.randint(1, 14)))
+        sizes = sorted(counts, reverse=True)
+        for effort in (0, 1, 5, None):
+            chosen = packing.fill(room, sizes, counts, effort)
+            waste, used = room - sum(chosen), collections.Counter(chosen)
+            assert waste >= 0 and all(used[s] <= counts[s] for s in used)
+            free = [s for s in sizes if used[s] < counts[s]]
+            assert not any(t < s <= t + waste for s in free for t in (0, *chosen))
+    assert packing.fill(10, [7, 6, 4], {7: 1, 6: 1, 4: 1}, None) == (6, 4)
+
+
 def test_license_alignment():
     scanner = licenses.Scanner()
     assert [f[0] for f in scanner.scan("word " * 50 + licenses.TEMPLATES["MIT-notice"] + " more" * 40)] == ["MIT-notice"]
