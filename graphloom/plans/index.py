@@ -67,7 +67,11 @@ def tables(files: DataFrame, config: Config = Config(), languages=LANGUAGES) ->
     refs = keep(refs.join(symbol.select(F.col("stable_key").alias("from_key"), F.col("id").alias("src")), "from_key"), "refs")
     meant = link.bound(refs, bound, exports)
     meant = meant.join(file.select(F.col("path").alias("binding_file"), F.col("id").alias("_file")), "binding_file", "left").drop("binding_file").withColumnRenamed("_file", "binding_file")
-    known = symbol.where("kind <> 'file'").withColumn("visibility", F.lit(None).cast("string"))
+    # a Swift file belongs to the module of its target, and imports modules, not names
+    module = lambda path: F.when(F.col(path).endswith(".swift"), F.nullif(F.regexp_extract(path, "(?:^|/)(?:Sources|Tests)/([^/]+)/", 1), F.lit("")))
+    modules_of = raw.where("language = 'swift'").groupBy(F.col("path").alias("file")).agg(F.collect_set("specifier").alias("imported"))  # the imports of one file
+    meant = meant.join(modules_of, "file", "left").withColumn("module", module("file"))
+    known = symbol.where("kind <> 'file'").join(ids.withColumn("module", module("path")).drop("path"), "file_id")
     placed = keep(resolve.candidates(meant, known, config.sdk).withColumn("binding_reason", F.lit(None).cast("string")), "placed")
     failed = listed.where("state <> 'ok'").join(raw.groupBy("path").agg(F.lit(1).alias("x")), "path", "left_semi").select(F.col("path").alias("name"))
     edges, outside, missing = resolve.split(placed, failed, failed.limit(0))

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources import python, typescript
+from graphloom.sources import python, swift, typescript
 
-SYMBOL = "stable_key string, qualified_name string, short_name string, kind string, signature string, start_byte int, end_byte int, start_line int, end_line int, body_hash string, exported boolean, is_test boolean"
+SYMBOL = "stable_key string, qualified_name string, short_name string, kind string, signature string, start_byte int, end_byte int, start_line int, end_line int, body_hash string, exported boolean, is_test boolean, visibility string"
 REF = "from_key string, name string, receiver string, receiver_type string, kind string, site_line int, site_column int"
 IMPORT = "local string, imported string, specifier string, site_line int"
 EXPORT = "exported string, local string, source string, star boolean, site_line int"
@@ -21,6 +21,7 @@ Extract = Callable[[str, bytes], tuple[str, list[dict], list[dict], list[dict],
 LANGUAGES: list[tuple[str, str, str, Extract]] = [
     ("typescript", r"(?<!\.d)\.(ts|tsx|mts|cts)$", "ts", typescript.extract),
     ("python", r"\.pyi?$", "py", python.extract),
+    ("swift", r"\.swift$", "swift", swift.extract),
 ]
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
+from collections.abc import Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +56,50 @@ def contained(root: str, path: str) -> str:
     return posixpath.join(root, path)
 
 
+def listed(root: str) -> Iterator[tuple[str, int, float]]:
+    """path below root, size and time in milliseconds of each file; no links, nothing below folders that are always ignored."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root))
+    base, local = base.rstrip("/"), system.type_name == "local"
+    folders = [base]
+    while folders:
+        for info in system.get_file_info(fs.FileSelector(folders.pop())):
+            if local and os.path.islink(info.path):
+                continue
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in ALWAYS_IGNORED:
+                    folders.append(info.path)
+            elif info.type == fs.FileType.File:
+                yield info.path[len(base) + 1 :], info.size, info.mtime.timestamp() * 1000
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), most: int = 2_000_000) -> DataFrame:
-    """path, size, mtime, hash, content of the source files below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    path = F.expr(f"substring(regexp_replace(path, '^file:/*', '/'), {len(base) + 2})")
-    rows = found.where(F.col("length") <= most).select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime"), F.sha2("content", 256).alias("hash"), "content")
-    return rows.where(F.col("path").rlike("(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$") & ~F.col("path").endswith(".d.ts") & ~ignored(F.col("path"), list(ignore)))
+    """path, size, mtime, hash, content of the source files below a folder; files above `most` bytes aren't read.
+
+    The driver lists names (Spark's own listing passes over those that begin with an
+    underscore, such as __init__.py); the executors, which must reach the folder, read.
+    """
+    schema = "path string, size long, mtime double"
+    ending = re.compile("(" + "|".join(re.escape(e) for e in EXTENSIONS) + ")$")
+    found = sorted(x for x in listed(root) if x[1] <= most and ending.search(x[0]) and not x[0].endswith(".d.ts"))
+    rows = spark.createDataFrame(found, schema).where(~ignored(F.col("path"), list(ignore)))
+    where = root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                some = batch.iloc[at : at + 64]
+                content = []
+                for path in some["path"]:
+                    with system.open_input_file(f"{base.rstrip('/')}/{path}") as f:
+                        content.append(f.read())
+                yield some.assign(hash=[hashlib.sha256(c).hexdigest() for c in content], content=content)
+
+    return rows.repartition(max(1, min(len(found) // 64, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(read, schema + ", hash string, content binary")
 
 
 def load_config(read, path: str, seen: frozenset[str] = frozenset()) -> dict:

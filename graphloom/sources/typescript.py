@@ -92,8 +92,8 @@ def _template(source: str, at: int) -> int:
 
 
 class Scanner:
-    def __init__(self, source: str):
-        self.source, self.tokens, self.found = source, tokenise(source), Found()
+    def __init__(self, source: str, tokens: list[Token] | None = None):
+        self.source, self.tokens, self.found = source, tokenise(source) if tokens is None else tokens, Found()
         self.n = len(self.tokens)
         self.close: dict[int, int] = {}
         stack = []

@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import cli
 from graphloom.operators import budget, drift, evaluate, find, impact, link, resolve
 from graphloom.plans import index, report, tools
-from graphloom.sources import python, repository, traces, typescript
+from graphloom.sources import python, repository, swift, traces, typescript
 from graphloom.sources.extract import language
 from graphloom.sources.store import Store
 from graphloom.streaming import refresh
@@ -91,9 +92,80 @@ async def co(x: "str" = ")", *, y: D[E]) -> F:
     assert [r["name"] for r in refs if r["kind"] == "INHERITS"] == ["Base"]
 
 
+SWIFT = """import Foundation
+import struct Kit.Box
+/* a /* nested */ comment */
+public protocol Shape { func area() -> Double; var name: String { get } }
+public final class Circle<T>: Base, Shape where T: X {
+  private let r: Double = compute(1)
+  public init(r: Double, store: Store) { self.r = r; store.save(r) }
+  func area() -> Double { return helper.mul(r, r) }
+  fileprivate func hidden(_ a: T) async throws -> [T] where T: Y {
+    let s: Service = make()
+    s.run("x\\(call(")"))")
+    return []
+  }
+}
+extension Outer.Inner { func ext() {} }
+enum Color: String { case red }
+func top(x: Int) { Circle(r: 1) }
+"""
+
+
+def test_swift():
+    state, symbols, refs, imports, exports = swift.extract("Sources/App/a.swift", SWIFT.encode())
+    assert state == "ok" and exports == [] and swift.target("x/Sources/App/a.swift") == "App" and swift.extract("a.swift", b"func f( {")[0] == "failed"
+    assert [(s["kind"], s["qualified_name"], s["start_line"], s["end_line"], s["visibility"], s["exported"]) for s in symbols] == [
+        ("interface", "Shape", 4, 4, "public", True), ("method", "Shape.area", 4, 4, "public", True), ("property", "Shape.name", 4, 4, "public", True), ("class", "Circle", 5, 14, "public", True),
+        ("property", "Circle.r", 6, 6, "private", False), ("method", "Circle.init", 7, 7, "public", True), ("method", "Circle.area", 8, 8, "public", True), ("method", "Circle.hidden", 9, 13, "fileprivate", False),
+        ("variable", "Circle.hidden.s", 10, 10, "internal", False), ("method", "Outer.Inner.ext", 15, 15, "internal", False), ("enum", "Color", 16, 16, "internal", False), ("function", "top", 17, 17, "internal", False),
+    ]
+    assert {(r["kind"], r["name"], r["receiver"], r["receiver_type"], r["from_key"].split("#")[1], r["site_line"]) for r in refs} == {
+        ("REFERENCES", "String", None, None, "Shape.name", 4), ("INHERITS", "Base", None, None, "Circle", 5), ("IMPLEMENTS", "Shape", None, None, "Circle", 5), ("REFERENCES", "Double", None, None, "Circle.r", 6), ("CALLS", "compute", None, None, "Circle.r", 6),
+        ("CALLS", "save", "store", "Store", "Circle.init", 7), ("CALLS", "mul", "helper", None, "Circle.area", 8), ("REFERENCES", "Service", None, None, "Circle.hidden.s", 10), ("CALLS", "make", None, None, "Circle.hidden.s", 10),
+        ("CALLS", "run", "s", "Service", "Circle.hidden", 11), ("IMPLEMENTS", "String", None, None, "Color", 16), ("CALLS", "Circle", None, None, "top", 17),
+    }
+    assert [(x["local"], x["imported"], x["specifier"]) for x in imports] == [("Foundation", "*", "Foundation"), ("Box", "Box", "Kit")]
+
+
+def test_swift_modules_narrow_candidates(spark):
+    sources = {"Sources/A/a.swift": "import B\nfunc go() { near(); far(); hid() }\n", "Sources/B/b.swift": "public func near() {}\nprivate func hid() {}\n", "Sources/C/c.swift": "public func far() {}\n"}
+    made = index.tables(files_of(spark, sources))
+    names = {r.id: r.stable_key for r in made["symbol"].collect()}
+    assert [(names[r.dst], r.tier) for r in made["edge"].where("kind = 'CALLS'").collect()] == [("swift:Sources/B/b.swift#near", "LEXICAL")]
+    assert {r.name for r in made["unresolved_ref"].collect()} == {"far", "hid"}
+
+
+def test_command_line(spark, tmp_path):
+    for path, text in SOURCES.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "bad.py").unlink()
+    (tmp_path / "tsconfig.json").write_text('{ // comment\n "compilerOptions": {"paths": {"@/*": ["src/*"]},}, }')
+    root = str(tmp_path)
+    assert json.loads(cli.run(["index", root], spark)) == {"indexed": 6, "skipped": 0, "deleted": 0}
+    assert json.loads(cli.run(["status", root], spark))["freshness"] == "fresh"
+    assert json.loads(cli.run(["query", root, "callers_of", "helper"], spark))["results"]["lexical"][0]["stableKey"] == "ts:src/a.ts#Derived.run"
+    assert json.loads(cli.run(["search", root, "far", "--kind", "function"], spark))["summary"] == "1 match(es)"
+    assert json.loads(cli.run(["impact", root, "helper", "--budget", "500"], spark))["results"][0]["stableKey"] == "ts:src/a.ts#Derived.run"
+    assert "## Modules" in cli.run(["doc", root], spark) and "<svg" in cli.run(["map", root], spark) and "src" in cli.run(["doc", root, "--module", "src"], spark)
+    assert cli.run(["map", root, "--out", str(tmp_path / "map.html")], spark) == "created"
+    assert cli.run(["clean", root], spark).endswith("is gone")
+    with pytest.raises(SystemExit):
+        cli.run(["query", root, "callers_of", "helper"], spark)
+
+
+def test_configuration_merge():
+    entry = {"command": "graphloom"}
+    assert cli.merge_config(None, "g", entry)[0] == "create" and cli.merge_config("{", "g", entry) == ("invalid-json", None)
+    outcome, text = cli.merge_config('{"a": 1, "mcpServers": {"x": {}}}', "g", entry)
+    assert outcome == "merge" and json.loads(text) == {"a": 1, "mcpServers": {"x": {}, "g": entry}}
+    assert cli.merge_config(text, "g", entry) == ("noop", None) and cli.merge_config(text, "g", {"command": "other"}) == ("conflict", None)
+
+
 def test_languages(spark):
     rows = spark.createDataFrame([("a.ts",), ("a.d.ts",), ("b/c.tsx",), ("x.mts",), ("p.py",), ("p.pyi",), ("s.swift",), ("r.js",)], "path string")
-    assert [r[0] for r in rows.select(language(F.col("path"))).collect()] == ["typescript", None, "typescript", "typescript", "python", "python", None, None]
+    assert [r[0] for r in rows.select(language(F.col("path"))).collect()] == ["typescript", None, "typescript", "typescript", "python", "python", "swift", None]
 
 
 def test_ignore_rules(spark):
