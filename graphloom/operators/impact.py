@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import USAGE, score, tier_rank
@@ -14,6 +14,8 @@ from graphloom.operators.traverse import fan_in, p95
 MAX_DEPTH, MAX_NODES = 6, 500
 #: Nodes that the driver holds, and that a level broadcasts, at most.
 MOST_NODES = 100_000
+#: Ids up to which a level is asked for by literals; beyond, by joins. The rows are the same.
+FEW = 2000
 
 
 def seeds_of_files(symbol: DataFrame, file: DataFrame, changed: DataFrame) -> DataFrame:
@@ -42,19 +44,30 @@ def radius(edge: DataFrame, symbol: DataFrame, seeds: list[int], depth: int = MA
         if time.monotonic() - start > seconds:
             warnings.append(f"{seconds:g} seconds reached")
             break
-        here = F.broadcast(spark.createDataFrame([(x,) for x in frontier], "dst long"))  # at most `nodes` rows
-        past = F.broadcast(spark.createDataFrame([(x,) for x in sorted(seen)], "src long"))  # seeds and at most `nodes` rows
-        fresh = usage.join(here, "dst", "left_semi").join(past, "src", "left_anti")
+        if len(frontier) + len(seen) <= FEW:  # as literals, which reach the scan
+            fresh = usage.where(F.col("dst").isin(frontier) & ~F.col("src").isin(sorted(seen)))
+        else:
+            here = F.broadcast(spark.createDataFrame([(x,) for x in frontier], "dst long"))  # at most `nodes` rows
+            past = F.broadcast(spark.createDataFrame([(x,) for x in sorted(seen)], "src long"))  # seeds and at most `nodes` rows
+            fresh = usage.join(here, "dst", "left_semi").join(past, "src", "left_anti")
         if level > depth:
             if not fresh.isEmpty():
                 warnings.append(f"depth {depth} reached")
             break
         best = fresh.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(tier_rank(F.col("tier")).alias("rank"), "tier")).alias("e"))
-        known = best.join(symbol.select("id", "stable_key", "exported"), "id").join(used, "id", "left")
         value = score(level, F.coalesce("fan_in", F.lit(0)), F.lit(most), F.col("exported"))
-        ordered = known.select("id", F.col("e.rank").alias("rank"), F.col("e.tier").alias("tier"), value.alias("score"), "stable_key").orderBy("rank", F.desc("score"), "stable_key")
+        some = best.select("id", "e.rank", "e.tier").limit(FEW + 1).collect()
+        if len(some) <= FEW:
+            tiers = {r.id: (r["rank"], r.tier) for r in some}
+            told = used.where(F.col("id").isin(list(tiers))) if tiers else used.limit(0)
+            known = symbol.where(F.col("id").isin(list(tiers))).select("id", "stable_key", "exported") if tiers else symbol.select("id", "stable_key", "exported").limit(0)
+            rated = known.join(F.broadcast(told), "id", "left").select("id", "stable_key", value.alias("score")).collect()  # at most FEW rows on either side
+            found = sorted((Row(id=r.id, rank=tiers[r.id][0], tier=tiers[r.id][1], score=r.score, stable_key=r.stable_key) for r in rated), key=lambda r: (r.rank, -r.score, r.stable_key))
+        else:
+            known = best.join(symbol.select("id", "stable_key", "exported"), "id").join(used, "id", "left")
+            ordered = known.select("id", F.col("e.rank").alias("rank"), F.col("e.tier").alias("tier"), value.alias("score"), "stable_key").orderBy("rank", F.desc("score"), "stable_key")
+            found = ordered.limit(nodes - len(rows) + 1).collect()  # at most `nodes` + 1 rows
         left = nodes - len(rows)
-        found = ordered.limit(left + 1).collect()  # at most `nodes` + 1 rows
         if len(found) > left:
             warnings.append(f"{nodes} nodes reached")
         found = found[:left]

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
-from graphloom.operators import evaluate, find, link, resolve
+from graphloom.operators import evaluate, find, link, modules, resolve
 from graphloom.plans import index, report, tools
-from graphloom.plans.catalogue import FAN, RANK, SCORE, SEEDS, USAGE, query
+from graphloom.plans.catalogue import FAN, GRAPH, RANK, SCORE, SEEDS, USAGE, _cross, query
 from graphloom.plans.views import Graph
 from graphloom.sources.extract import extracted
 
@@ -224,3 +224,8 @@ def impact_call(g: Graph) -> DataFrame:
     key = g.symbol.where("id = 2000001").first().stable_key
     made = _tools(g).get_impact_radius([key], token_budget=100_000)["results"]
     return _rows(g, [r for r in made if r["depth"] == 1], "stableKey string, depth long, tier string, score double")
+
+
+@query("SELECT m.module, CAST(files AS BIGINT) AS files, CAST(symbols AS BIGINT) AS symbols, coalesce(names, '') AS names FROM (SELECT array_to_string(string_split(module, '/')[1:2], '/') AS module, sum(files) AS files, sum(symbols) AS symbols FROM (SELECT regexp_extract(path, '^(.*)/', 1) AS module, count(DISTINCT path) AS files, sum(symbols) AS symbols FROM counts GROUP BY 1) WHERE module LIKE 'src%' GROUP BY 1) m LEFT JOIN (SELECT module, string_agg(name, ',' ORDER BY place) AS names FROM (SELECT array_to_string(string_split(module, '/')[1:2], '/') AS module, name, min({'m': module, 'r': r}) AS place FROM (SELECT target AS module, dst_name AS name, row_number() OVER (PARTITION BY target ORDER BY count(*) DESC, dst_name) AS r FROM x WHERE tier <> 'HEURISTIC' AND dst_kind <> 'file' GROUP BY 1, 2) WHERE r <= 6 GROUP BY 1, 2) GROUP BY 1) n ON n.module = m.module", GRAPH)
+def rollup_summaries(g: Graph) -> DataFrame:
+    return modules.rolled_summaries(modules.summaries(modules.symbol_counts(g.symbol, g.file)), modules.surface(_cross(g)))

@@ -42,7 +42,9 @@ def test_seed_stops_at_the_first_level(spark):
     assert [r.id for r in traverse.seed(some, "z").collect()] == [2]
 
 
-def test_impact_depth_and_node_caps(spark):
+@pytest.mark.parametrize("few", [2000, 0])
+def test_impact_depth_and_node_caps(spark, monkeypatch, few):
+    monkeypatch.setattr(impact, "FEW", few)  # by literals and by joins
     chain = edges(spark, [(i + 1, i) for i in range(6)])
     rows, warnings = impact.radius(chain, symbols(spark, 8), [0])
     assert sorted((r.id, r.depth) for r in rows.collect()) == [(i, i) for i in range(1, 7)] and not warnings
