@@ -157,10 +157,12 @@ class Encoder:
             else:
                 write(chars.replace(b" ", mark), at)
             space = chars.endswith(b" ")
+        end = len(data)
         if self.trim:
             while out.endswith(mark) and len(out) > 0:
+                end = source[-len(mark)]
                 del out[-len(mark) :], source[-len(mark) :]
-        return out.decode(errors="replace"), np.array([*source, len(data)], np.int64)
+        return out.decode(errors="replace"), np.array([*source, end], np.int64)
 
     def learn(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of words with the spaces before them: ids as text with a comma after each, source bytes of
