@@ -202,6 +202,46 @@ def plain_pii(t):
     return sorted(out)
 
 
+@pytest.mark.parametrize("trim", [False, True])
+def test_pieces_of_a_model_with_a_character_map(tmp_path, trim):
+    """Ids and byte spans equal the library's where a map replaces characters and white space is trimmed."""
+    import sentencepiece
+
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    # "q" -> "st", "qu" -> "", "é" -> "e": a double array of 256 units
+    units = [0] * 512
+    text, entries = b"", {}
+    for k, v in (("q", "st"), ("é", "e")):
+        entries[k.encode()] = len(text)
+        text += v.encode() + b"\0"
+    base = 256
+    units[0] = base << 10
+    q = base ^ ord("q")
+    units[q] = ord("q") | 1 << 8 | (q ^ 300) << 10
+    units[300] = 0x80000000 | entries[b"q"]
+    lead, tail = "é".encode()
+    x = base ^ lead
+    units[x] = lead | (x ^ (400 ^ tail)) << 10
+    units[400] = tail | 1 << 8 | (400 ^ 410) << 10
+    units[410] = 0x80000000 | entries["é".encode()]
+    blob = (4 * len(units)).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + text
+    spec = b"\x0a\x01x" + b"\x12" + number(len(blob)) + blob + b"\x18\x01" + b"\x20" + bytes([trim]) + b"\x28\x01"
+    model = b"".join(bytes([tag << 3 | 2]) + number(len(v)) + v for tag, v in [(t, spec if t == 3 else v) for t, v in pieces.fields(open(queries.tokenizer("piece_bpe_32k.model"), "rb").read())])
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Encoder(str(path))
+    assert own.map.units and not own.fast
+    for t in ("a quiet café", "  éq  two   spaces ", "quququ é", "", "   ", "日本 q", "plain words only", "tab\tand\nline é q"):
+        assert own.normalise(t)[0] == library.normalize(t)
+        proto = library.encode(t, return_type="proto")
+        ids, begin, end = own.spans(t)
+        assert ids == [p.id for p in proto.pieces] and [(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)] == [(p.begin, p.end) for p in proto.pieces], t
+        ((n, ids_sum, decoded, _),) = summed(own, [t])
+        assert n == len(ids) and decoded == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_pii_base_equals_the_patterns():
     random.seed(5)
     for _ in range(3000):
