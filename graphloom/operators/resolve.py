@@ -143,12 +143,21 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.groupBy("file", "at").agg(F.max_by("key", F.struct("start", -F.col("end"))).alias("key"))
 
 
-def as_of(points: DataFrame, bindings: DataFrame) -> DataFrame:
-    """The latest binding (owner, name, start, type) at or before each point (owner, name, at)."""
+def as_of(points: DataFrame, bindings: DataFrame, width: int = 4096) -> DataFrame:
+    """The latest binding (owner, name, start, type) at or before each point (owner, name, at).
+
+    Rows of a key are dealt into stretches of `width`, so that a hot key isn't one task; what
+    the last stretch with a binding ends with is carried over.
+    """
     keys = ["owner", "name"]
     rows = bindings.select(*keys, F.col("start").alias("at"), "type", F.lit(0).alias("side")).unionByName(points.select(*keys, "at", F.lit(None).cast("string").alias("type"), F.lit(1).alias("side")))
-    last = F.last("type", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("bound", last).where("side = 1").select(*keys, "at", F.col("bound").alias("type"))
+    rows = rows.withColumn("stretch", F.floor(F.col("at") / width))
+    near = F.last("type", ignorenulls=True).over(Window.partitionBy(*keys, "stretch").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy(*keys, "stretch").agg(F.max_by("type", F.when(F.col("type").isNotNull(), F.col("at"))).alias("end"))
+    carried = F.last("end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    told = ends.withColumn("carried", carried).select(*[F.col(k).alias(f"_{k}") for k in [*keys, "stretch"]], "carried")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "stretch"]]
+    return rows.withColumn("near", near).where("side = 1").join(told, same).select(*keys, "at", F.coalesce("near", "carried").alias("type"))
 
 
 def collision_keys(rows: DataFrame) -> DataFrame:

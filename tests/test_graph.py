@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,13 @@ def test_entry_without_optional_parts():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "callers_of" in e.queries()
+
+
+def test_as_of_across_stretches(spark):
+    random.seed(2)
+    held = [(random.choice("ab"), None if i % 9 == 0 else "n", i * 7 % 500, f"t{i}") for i in range(60)]
+    asked = [(o, n, at) for o in "abc" for n in ("n", None) for at in range(0, 520, 13)]
+    want = {(o, n, at): max(((s, t) for p, m, s, t in held if p == o and m == n and s <= at), default=(0, None))[1] for o, n, at in asked}
+    bindings, points = spark.createDataFrame(held, "owner string, name string, start long, type string"), spark.createDataFrame(asked, "owner string, name string, at long")
+    for width in (10, 100, 4096):
+        assert {(r.owner, r.name, r.at): r.type for r in resolve.as_of(points, bindings, width).collect()} == want
