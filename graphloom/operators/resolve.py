@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,30 @@ def tiers(refs: DataFrame, symbol: DataFrame, sdk: list[str] = ()) -> DataFrame:
     symbol: id, short_name, file_id, visibility, qualified_name and optional module. Narrowing
     drops private symbols of other files; for a reference without receiver those of modules
     that are neither its own nor imported; and where the receiver's type is known members of
-    other owners. Symbols are counted by name, file, module, visibility and owner before they
-    meet the references, so a common name isn't multiplied out.
+    other owners. Symbols are counted by name and what decides before they meet the
+    references, so a common name isn't multiplied out.
     """
     known = symbol if "module" in symbol.columns else symbol.withColumn("module", F.lit(None).cast("string"))
     for c, kind in (("module", "string"), ("imported", "array<string>")):
         refs = refs if c in refs.columns else refs.withColumn(c, F.lit(None).cast(kind))
     hidden = F.coalesce(F.col("visibility").isin("private", "fileprivate"), F.lit(False))
-    kinds = known.groupBy(F.col("short_name").alias("name"), F.col("file_id").alias("dst_file"), F.col("module").alias("dst_module"), hidden.alias("hidden"), last_part(owner(F.col("qualified_name"))).alias("tail")).agg(F.count("*").alias("copies"))
-    joined = refs.join(kinds, (refs.name == kinds.name) & _open(refs, F.col("dst_file")), "left").drop(kinds.name)
-    keep = _kept()
-    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("copies"))), F.lit(0)).cast("long")
-    counts = joined.groupBy("ref").agg(total(keep).alias("n"), total(F.lit(True)).alias("all"))
+    each = known.select(F.col("short_name").alias("_name"), F.col("file_id").alias("dst_file"), F.col("module").alias("dst_module"), hidden.alias("hidden"), last_part(owner(F.col("qualified_name"))).alias("tail"))
+    kinds = lambda rows, *by: rows.groupBy("_name", *by).agg(F.count("*").alias("copies"))
+    named, shown, own = F.col("name") == F.col("_name"), each.where("not hidden"), each.where("hidden")
+    open_, typed = refs.where("coalesce(binding_kind, 'file') = 'file'"), F.col("receiver").isNotNull() & F.col("receiver_type").isNotNull()
+    bound, free = open_.where("binding_file is not null"), open_.where("binding_file is null")
+    n, none = F.col("copies").alias("n"), F.lit(0).cast("long")
+    # each join is on the name and what else must be equal, so a name costs no more rows than it has modules
+    parts = [
+        bound.join(kinds(each, "dst_file", "dst_module", "hidden", "tail"), named & (F.col("binding_file") == F.col("dst_file"))).select("ref", F.when(_kept(), F.col("copies")).otherwise(0).alias("n"), F.col("copies").alias("all")),
+        free.join(kinds(each), named).select("ref", none.alias("n"), F.col("copies").alias("all")),
+        free.where(typed).join(kinds(shown, "tail"), named & (last_part(F.col("receiver_type")) == F.col("tail"))).select("ref", n, none.alias("all")),
+        free.where(F.col("receiver").isNotNull() & F.col("receiver_type").isNull()).join(kinds(shown), named).select("ref", n, none.alias("all")),
+        free.where("receiver is null").join(kinds(shown, "dst_module"), named).where(~_away()).select("ref", n, none.alias("all")),
+        free.join(kinds(own, "dst_file", "dst_module", "hidden", "tail"), named & (F.col("src_file") == F.col("dst_file"))).where(_kept()).select("ref", n, none.alias("all")),
+    ]
+    summed = reduce(DataFrame.unionAll, parts).groupBy("ref").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    counts = refs.select("ref").join(summed, "ref", "left").select("ref", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("all", F.lit(0)).alias("all"))
     tier = disposition(
         F.coalesce(F.col("binding_kind") == "external", F.lit(False)), F.coalesce(F.col("binding_kind") == "unresolved", F.lit(False)), F.col("n"), F.col("receiver").isNotNull(),
         F.coalesce(F.col("binding_kind") == "file", F.lit(False)), F.col("n") < F.col("all"), F.col("name").isin(list(sdk)) if sdk else F.lit(False), CAP,
@@ -42,13 +56,17 @@ def _open(refs: DataFrame, file: Column) -> Column:
     return F.coalesce(refs.binding_file == file, F.lit(True)) & F.coalesce(refs.binding_kind == "file", refs.binding_kind.isNull(), F.lit(True))
 
 
+def _away() -> Column:
+    """Whether a candidate's module (dst_module) is neither the reference's own nor imported, which matters without a receiver."""
+    other = F.col("dst_module").isNotNull() & (F.col("dst_module") != F.col("module")) & ~F.coalesce(F.array_contains("imported", F.col("dst_module")), F.lit(False))
+    return F.col("receiver").isNull() & F.coalesce(other, F.lit(False))
+
+
 def _kept() -> Column:
     """Whether narrowing leaves a candidate, given as dst_file, dst_module, hidden and tail beside the reference."""
-    other = F.col("dst_module").isNotNull() & (F.col("dst_module") != F.col("module")) & ~F.coalesce(F.array_contains("imported", F.col("dst_module")), F.lit(False))
     private = F.col("hidden") & (F.col("dst_file") != F.col("src_file"))
-    away = F.col("receiver").isNull() & F.coalesce(other, F.lit(False))
     foreign = F.col("receiver").isNotNull() & F.col("receiver_type").isNotNull() & ~F.coalesce(F.col("tail") == last_part(F.col("receiver_type")), F.lit(False))
-    return F.col("dst_file").isNotNull() & ~F.coalesce(private, F.lit(False)) & ~away & ~foreign
+    return F.col("dst_file").isNotNull() & ~F.coalesce(private, F.lit(False)) & ~_away() & ~foreign
 
 
 def candidates(refs: DataFrame, symbol: DataFrame, sdk: list[str] = ()) -> DataFrame:

@@ -1,6 +1,7 @@
 """Extraction, linking, the index build and the public calls, against literal rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,34 @@ def test_narrowing(spark):
     assert edges.count() == 8 and outside.count() == 1 and missing.count() == 0
 
 
+def test_tiers_equal_brute_force(spark):
+    """Counts by way of aggregates equal those over every pair of a reference and a symbol."""
+    random.seed(6)
+    pick = random.choice
+    symbol = [(i, pick("fg"), pick([1, 2, 3]), pick([None, "private", "public"]), pick(["f", "T.f", "U.T.f", "V.f"]), pick([None, "A", "B", "C"])) for i in range(120)]
+    refs = []
+    for i in range(300):
+        kind = pick([None, None, "file", "external", "unresolved"])
+        receiver = pick([None, "x"])
+        refs.append((i, 9, pick([1, 2, 3]), pick("fgh"), "CALLS", 1, receiver, pick([1, 2]) if kind == "file" else None, kind, pick([None, "T", "Q.V"]) if receiver else None, pick([None, "A", "B"]), pick([None, [], ["B"], ["C", "A"]])))
+    want = {}
+    for ref, _, file, name, _, _, receiver, place, kind, written, module, imported in refs:
+        n = every = 0
+        for _, short, at, visibility, qualified, other in symbol:
+            if short != name or kind in ("external", "unresolved") or place is not None and at != place:
+                continue
+            every += 1
+            hidden = visibility == "private" and at != file
+            away = receiver is None and other is not None and module is not None and other != module and other not in (imported or [])
+            tail = qualified.rpartition(".")[0].rpartition(".")[2]
+            foreign = receiver is not None and written is not None and tail != written.rpartition(".")[2]
+            n += not (hidden or away or foreign)
+        want[ref] = (n, every)
+    schema = "ref long, src long, src_file long, name string, kind string, site_line long, receiver string, binding_file long, binding_kind string, receiver_type string, module string, imported array<string>"
+    known = spark.createDataFrame(symbol, "id long, short_name string, file_id long, visibility string, qualified_name string, module string")
+    assert {r.ref: (r.n, r["all"]) for r in resolve.tiers(spark.createDataFrame(refs, schema), known).collect()} == want
+
+
 SOURCES = {
     "src/a.ts": 'import { helper as h, Base } from "./b.js";\nimport * as ns from "./c";\nimport ext from "left-pad";\nexport class Derived extends Base {\n  run(): void { h(); ns.far(); ext(); this.own(); missing(); }\n  own() {}\n}\n',
     "src/b.ts": 'export function helper() {}\nexport class Base { run() {} }\nexport * from "./c";\n', "src/c.ts": "export function far() {}\n",
