@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators import traverse
-from graphloom.sources.store import keep
+from graphloom.sources.store import keep, still_there
 
 VIEWS = {
     "file": """SELECT CAST(n_nationkey AS BIGINT) AS id,
@@ -93,7 +93,7 @@ class Graph:
     @cached_property
     def written(self) -> dict[str, DataFrame]:
         state = self.state()
-        if state not in _written:
+        if state not in _written or not all(map(still_there, _written[state].values())):
             made = {n: keep(self.view(n), n) for n in ("file", "symbol", "external_ref", "unresolved_ref")}
             edge = self.view("edge")
             made["edge"] = keep(edge.repartitionByRange(PARTS, "kind", "dst").sortWithinPartitions("kind", "dst"), "edge", "kind")

@@ -39,7 +39,16 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df to the folder that the cluster shares and read it back, to end its lineage. by: a column of few values."""
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.kept = path
+    return made
+
+
+def still_there(made: DataFrame) -> bool:
+    """Whether a table of keep() hasn't been removed."""
+    context = made.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(made.kept)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
 
 
 def location(base: str, root: str) -> str:

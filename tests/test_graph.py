@@ -156,3 +156,15 @@ def test_as_of_across_stretches(spark):
     bindings, points = spark.createDataFrame(held, "owner string, name string, start long, type string"), spark.createDataFrame(asked, "owner string, name string, at long")
     for width in (10, 100, 4096):
         assert {(r.owner, r.name, r.at): r.type for r in resolve.as_of(points, bindings, width).collect()} == want
+
+
+def test_graph_is_written_once_and_again_when_removed(spark):
+    from graphloom.plans.views import Graph
+
+    folder = "/root/testdata/sf0.001"
+    first = Graph(spark, folder).written
+    assert Graph(spark, folder).written is first
+    store.Store(spark, first["fan"].kept).drop()
+    again = Graph(spark, folder).written
+    assert again is not first and again["fan"].count() > 0
+    assert again["edge"].count() == again["edge_by_src"].count() == Graph(spark, folder).view("edge").count()
