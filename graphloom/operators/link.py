@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +131,8 @@ def export_map(exports: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             break
         own = keep(own.unionByName(fresh), "exports")
+    else:
+        warnings.warn(f"star exports aren't settled after {PASSES} passes; longer chains of them are cut", stacklevel=2)
     named = direct.where("source is not null").select("file", "name", "source", "ordinal")
     for _ in range(PASSES):
         through = named.join(own.select(F.col("file").alias("source"), "name", F.col("owner").alias("far")), ["source", "name"]).groupBy("file", "name").agg(F.max_by("far", "ordinal").alias("far"))
@@ -137,6 +140,8 @@ def export_map(exports: DataFrame) -> DataFrame:
         if moved.where("far is not null and far <> owner").isEmpty():
             break
         own = keep(moved.select("file", "name", F.coalesce("far", "owner").alias("owner")), "exports")
+    else:
+        warnings.warn(f"re-exports aren't settled after {PASSES} passes; longer chains of them are cut", stacklevel=2)
     return own
 
 

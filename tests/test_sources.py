@@ -201,6 +201,15 @@ def test_python_modules(spark):
     assert {k: v[0] for k, v in got.items()} == asked and got["sys.path"][1] == "sys" and got[".no"][1] == ".no"
 
 
+def test_long_chains_of_exports_are_told(spark, monkeypatch):
+    rows = [("m0", "x", None, False, 0)] + [(f"m{i}", None, f"m{i - 1}", True, 0) for i in range(1, 6)]
+    exports = spark.createDataFrame(rows, "file string, name string, source string, star boolean, ordinal long")
+    assert {r.file for r in link.export_map(exports).collect()} == {f"m{i}" for i in range(6)}
+    monkeypatch.setattr(link, "PASSES", 2)
+    with pytest.warns(UserWarning, match="2 passes"):
+        assert {r.file for r in link.export_map(exports).collect()} == {"m0", "m1", "m2"}
+
+
 def test_narrowing(spark):
     schema = "ref long, src long, src_file long, name string, kind string, site_line long, receiver string, binding_file long, binding_kind string, receiver_type string, module string, imported array<string>, package string, binding_reason string"
     rows = [(1, 9, 1, "f", "CALLS", 1, None, None, None, None, "A", [], None, None), (2, 9, 1, "f", "CALLS", 1, None, None, None, None, "A", ["B"], None, None), (3, 9, 1, "f", "CALLS", 1, "x", None, None, "Q.T", "A", [], None, None), (4, 9, 2, "f", "CALLS", 1, None, 2, "file", None, "A", None, None, None), (5, 9, 1, "f", "CALLS", 1, None, None, "external", None, "A", None, "lib", None)]
