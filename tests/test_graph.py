@@ -168,3 +168,20 @@ def test_graph_is_written_once_and_again_when_removed(spark):
     again = Graph(spark, folder).written
     assert again is not first and again["fan"].count() > 0
     assert again["edge"].count() == again["edge_by_src"].count() == Graph(spark, folder).view("edge").count()
+
+
+def test_tiers_in_one_pass_equal_each_compared_alone(spark):
+    """Also with null ends and kinds, kinds beyond one word of bits, and expected edges as a condition."""
+    rng = random.Random(2)
+    kinds = ["REFERENCES", "CALLS", None, *[f"K{i:02}" for i in range(14)]]
+    end = lambda: rng.choice([None, *range(5)])
+    edge = [(end(), end(), rng.choice(kinds), rng.choice([*evaluate.TIERS, "OTHER", None])) for _ in range(400)]
+    schema = "src long, dst long, kind string, tier string"
+    for rows, more in ((edge, edge[:50]), (edge[200:], [(1, 2, "NEW", None), *edge[:30]]), ([r for r in edge if r[2] not in ("REFERENCES", None)], edge[:0]), ([], edge[:20]), ([], [])):
+        actual, expected = spark.createDataFrame(rows, schema), spark.createDataFrame(more, schema)
+        each = actual.where(F.col("tier").isin(evaluate.TIERS)).union(actual.withColumn("tier", F.lit("ALL")))
+        wanted = expected.select("src", "dst", "kind", F.explode(F.array(*[F.lit(t) for t in [*evaluate.TIERS, "ALL"]])).alias("tier"))
+        spell = lambda df: sorted(map(str, df.collect()))
+        assert spell(evaluate.by_tier(actual, expected)) == spell(evaluate.compare(each, wanted, ["tier"]))
+    actual = spark.createDataFrame(edge, schema)
+    assert spell(evaluate.by_tier(actual, F.expr("src % 3 <> 0"))) == spell(evaluate.by_tier(actual, actual.where("src % 3 <> 0")))
