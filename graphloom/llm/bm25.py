@@ -7,15 +7,17 @@ same words as often are one document of a segment, with all their ids. The numbe
 documents, the mean length and document frequencies are counted over all documents, so
 scores are the same in every segment and the segments' own top k merge exactly.
 
-A search follows WAND, for all documents of a segment at once instead of one cursor after
-another, so that the work is array operations. The words of a query are ordered by the
-largest score that each can add here. The pivot is where the bounds of the words behind it
-stay below the threshold, the least score that can still be among the top k: no document
-gets there by those alone, so only documents in the postings up to the pivot are looked at,
-and a segment whose bounds together stay below the threshold is passed over. Of those
-documents, one is passed over where its score so far and the largest scores that the words
-behind the pivot have in its block of documents stay below the threshold. What remains is
-completed, a few words at a time, and dropped as soon as the rest can't lift it.
+A search follows WAND, for all documents of some segments at once instead of one cursor after
+another, so that the work is array operations. The words of a query that are in few documents
+here come first; those in many, which add little each, stand behind the pivot. A query is passed
+over where the bounds of all its words together stay below the threshold, the least score that
+can still be among the top k. The postings up to the pivot are summed. A document is passed over
+where its sum so far and the bound of the words behind the pivot stay below the threshold: the
+largest scores that they have in its block of documents, or all that they have in the document,
+whichever is less. Documents are put into blocks in the order of the latter, so blocks are alike.
+What remains is completed: where it is many documents of many queries, by a product of matrices,
+block by block; elsewhere one by one. These sums are of 32-bit floats, and what their rounding
+can hide is kept; only documents that are then among the top k get their exact scores.
 
 An eighth of the segments is searched first; the k-th best score found there is the
 threshold with which the others begin, and a task carries what it finds from one segment to
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
@@ -58,10 +61,14 @@ QUERIES, TERMS = 8192, 3 << 20
 FREQUENT = 0.05
 #: One of so many segments is searched first.
 LOTS = 8
-#: Words behind the pivot that are looked up at once.
-STEP = 12
-#: Postings up to which a word's are gathered with others', not copied by themselves.
-SHORT = 64
+#: Segments are searched together up to so many documents or postings.
+GROUP, GROUPED = 16384, 6 << 20
+#: Queries searched together; documents that they are completed for at once.
+TOGETHER, WIDE = 128, 2048
+#: Share of documents that stay up to which each is completed by itself.
+ALONE = 0.03
+#: Where the first half of an int64 lies.
+LOW = int(sys.byteorder == "big")
 #: Rounding that sums in any order stay within.
 SLACK = 1 - 1e-9
 
@@ -167,132 +174,193 @@ class Asked:
         self.least = np.zeros(len(self.names))
 
 
-class Segment:
-    """A row of the index, with the scores that its postings add to the queries of a block."""
+class Group:
+    """Some segments as one: the postings of a block's words, and what they add to its queries.
 
-    def __init__(self, ids: bytes, copies: bytes, words: bytes, first: bytes, docs: bytes, tf: bytes, lengths: bytes, asked: Asked, mean: float):
-        self.ids, self.first = np.frombuffer(ids, "<i8"), np.frombuffer(first, "<i4").astype(np.int64)
-        copies = np.frombuffer(copies, "<u4")
+    Rows of the index with consecutive documents; words are places in `asked.words`. `dense` has
+    the documents in the order of what the frequent words add to them, `to` is that order.
+    """
+
+    def __init__(self, rows: list[tuple[bytes, ...]], asked: Asked, mean: float):
+        self.asked, size, found = asked, np.zeros(len(asked.words), np.int64), []
+        for _, copies, words, first, *_ in rows:
+            own, first = np.frombuffer(words, np.uint64), np.frombuffer(first, "<i4").astype(np.int64)
+            at = np.minimum(np.searchsorted(own, asked.words), max(0, len(own) - 1))
+            here = np.flatnonzero(own[at] == asked.words) if len(own) else np.zeros(0, np.int64)
+            at = at[here]
+            asked_for = np.zeros(len(own), bool)
+            asked_for[at] = True
+            found.append((here, first[at + 1] - first[at], np.repeat(asked_for, np.diff(first))))
+            size[here] += found[-1][1]
+        self.size, self.first = size, np.concatenate([[0], np.cumsum(size)])
+        copies = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows])
+        self.ids = np.concatenate([np.frombuffer(r[0], "<i8") for r in rows])
         self.of = np.concatenate([[0], np.cumsum(copies, dtype=np.int64)])
-        self.n, own = len(copies), np.frombuffer(words, np.uint64)
-        count = int(self.first[-1])
-        self.docs = _wide(docs, count).astype(np.int64)
-        # words of the queries that are here
-        at = np.minimum(np.searchsorted(own, asked.words), max(0, len(own) - 1))
-        here = own[at] == asked.words if len(own) else np.zeros(len(at), bool)
-        self.where = np.where(here, at, -1)
-        weight = np.zeros(len(own))
-        weight[at[here]] = asked.idf[here]
-        size = np.diff(self.first)
-        norm = K1 * (1 - B + B * np.frombuffer(lengths, "<u4") / mean)
-        value = _wide(tf, count).astype(np.float64)
-        value *= (K1 + 1) / (value + norm[self.docs])
-        value *= np.repeat(weight, size)
-        self.value = value
-        self.most = np.maximum.reduceat(value, self.first[:-1]) if count else np.zeros(0)
-        often = np.flatnonzero((size > FREQUENT * self.n) & (weight > 0))
-        self.row = np.full(len(own), -1)
-        self.row[often] = np.arange(len(often))
+        self.n, count = len(copies), int(self.first[-1])
+        self.norm = K1 * (1 - B + B * np.concatenate([np.frombuffer(r[6], "<u4") for r in rows]) / mean)
+        self.tf = np.zeros(count, np.uint32)
+        self.postings = np.zeros(count, np.int64)  # a document and what the posting adds, 32 bits each: one look at memory finds both
+        self.docs, self.value = self.postings.view(np.int32)[LOW::2], self.postings.view(np.float32)[1 - LOW :: 2]
+        norm, idf = self.norm.astype(np.float32), asked.idf.astype(np.float32)
+        low, used = 0, self.first[:-1].copy()
+        for (_, copies, _, _, docs, tf, _), (here, own, some) in zip(rows, found, strict=True):
+            doc, often = _wide(docs, len(some))[some].astype(np.int32), _wide(tf, len(some))[some]
+            doc += np.int32(low)
+            to = tb.spread(used[here], own) if len(rows) > 1 else slice(None)
+            posting, value = np.empty(len(doc), np.int64), often.astype(np.float32)
+            value *= np.float32(K1 + 1) / (value + norm[doc])
+            value *= np.repeat(idf[here], own)
+            posting.view(np.int32)[LOW::2], posting.view(np.float32)[1 - LOW :: 2] = doc, value
+            self.postings[to], self.tf[to] = posting, often
+            used[here] += own
+            low += len(copies) // 4
+        some = np.flatnonzero(size)
+        self.most = np.zeros(len(size))
+        if len(some):
+            self.most[some] = np.maximum.reduceat(self.value, self.first[some])
+        often = np.flatnonzero(size > FREQUENT * self.n)
+        self.column = np.full(len(size), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        runs = [slice(a, b) for a, b in zip(self.first[often].tolist(), self.first[often + 1].tolist(), strict=True)]
+        frequent = np.concatenate([self.docs[r] for r in runs] or [self.docs[:0]]), np.concatenate([self.value[r] for r in runs] or [self.value[:0]])
+        own = np.bincount(*frequent, self.n)
+        self.to = np.argsort(-own, kind="stable")
+        self.own = own[self.to].astype(np.float32)
+        rank = np.empty(self.n, np.int64)
+        rank[self.to] = np.arange(self.n)
         self.blocks = -(-self.n // BLOCK)
-        self.dense = np.zeros((len(often), self.blocks * BLOCK))
-        for i, w in enumerate(often.tolist()):
-            a, b = self.first[w], self.first[w + 1]
-            self.dense[i, self.docs[a:b]] = value[a:b]
-        self.peak = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2) if len(often) else np.zeros((0, self.blocks))
-
-    def added(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The postings of some words: documents and what they add."""
-        first, size = self.first[words], self.first[words + 1] - self.first[words]
-        long = size > SHORT
-        at = tb.spread(first[~long], size[~long])
-        docs, value = [self.docs[at]], [self.value[at]]
-        for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
-            docs.append(self.docs[a : a + n])
-            value.append(self.value[a : a + n])
-        return np.concatenate(docs), np.concatenate(value)
-
-    def total(self, docs: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """What postings add to each document."""
-        return np.bincount(docs, value, self.n) if len(docs) else np.zeros(self.n)
-
-    def search(self, places: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """doc_ids and exact scores of this segment's top k, without those below `least`."""
-        word = self.where[places]
-        word = word[word >= 0]
-        bound = self.most[word]
-        if not len(word) or bound.sum() < least * SLACK:
-            return self.ids[:0], self.value[:0]
-        order = np.argsort(-bound, kind="stable")
-        word, bound = word[order], bound[order]
-        row = self.row[word]
-        rest = np.cumsum(bound[::-1])[::-1]  # of a word and all behind it
-        tail = np.zeros(len(word), bool)
-        postings = []
-        if least <= 0:  # no threshold yet: one from the rarer words
-            postings.append(self.added(word[row < 0]))
-            total = self.total(*postings[0])
-            least = float(np.partition(total, -k)[-k]) if self.n >= k else 0.0
-        pivot = int((rest >= least * SLACK).sum())
-        tail[pivot:] = row[pivot:] >= 0
-        postings.append(self.added(word[~tail & (row >= 0)] if postings else word[~tail]))
-        total = total + self.total(*postings[1]) if len(postings) > 1 else self.total(*postings[0])
-        rows, bound = row[tail], bound[tail]
-        if len(rows):
-            doc = np.flatnonzero(total + np.repeat(self.peak[rows].sum(axis=0), BLOCK)[: self.n] >= least * SLACK)
-            score, left = total[doc], np.append(np.cumsum(bound[::-1])[::-1], 0.0)
-            for a in range(0, len(rows), STEP):
-                if not len(doc):
-                    break
-                for r in rows[a : a + STEP].tolist():
-                    score += self.dense[r, doc]
-                stay = score + left[min(a + STEP, len(rows))] >= least * SLACK
-                doc, score = doc[stay], score[stay]
-        else:
-            doc = np.flatnonzero(total >= least * SLACK) if least > 0 else np.flatnonzero(total)
-            score = total[doc]
-        if len(doc) > k:
-            edge = np.partition(score, -k)[-k]
-            doc = doc[score >= edge * SLACK]
-        if not len(doc):
-            return self.ids[:0], self.value[:0]
-        # the k best: sums of the words' scores, rounded once
-        mark = np.zeros(self.n, np.int32)
-        mark[doc] = np.arange(1, len(doc) + 1)
-        parts: list[list[float]] = [d.tolist() for d in self.dense[np.ix_(rows, doc)].T] if len(rows) else [[] for _ in doc]
-        for docs, value in postings:
-            own = mark[docs]
-            at = np.flatnonzero(own)
-            for i, v in zip((own[at] - 1).tolist(), value[at].tolist(), strict=True):
-                parts[i].append(v)
-        found = []
-        for d, x in zip(doc.tolist(), parts, strict=True):
-            score = math.fsum(x)
-            if score >= least * SLACK:
-                found += [(-score, i) for i in self.ids[self.of[d] : min(self.of[d] + k, self.of[d + 1])].tolist()]
-        found = sorted(found)[:k]
-        return np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found])
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        self.dense[rank[frequent[0]], np.repeat(np.arange(len(often)), size[often])] = frequent[1]
+        self.peak = self.dense.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
+        # sums of the frequent words and of three parts, and factors of values, each rounded to 24 bits
+        self.slack = SLACK - (len(often) + 24) * 2.0**-23
+
+    def seldom(self, words: np.ndarray) -> np.ndarray:
+        """What the words' postings add to each document, in the order of `dense`."""
+        found = self.postings.take(tb.spread(self.first[words], self.size[words]))
+        return np.bincount(found.view(np.int32)[LOW::2], found.view(np.float32)[1 - LOW :: 2], self.n).take(self.to)
+
+    def search(self, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, doc_ids, exact scores) of the group's top k of each query, without those below its `least`."""
+        places, cut, column = self.asked.places, self.asked.cut, self.column
+        bound = self.most[places]
+        whole = np.add.reduceat(bound, cut[:-1])
+        behind = np.add.reduceat(np.where(column[places] >= 0, bound, 0), cut[:-1])
+        todo = np.flatnonzero((whole > 0) & (whole >= least * self.slack))
+        todo = todo[np.argsort(behind[todo] / np.maximum(least[todo], 1e-9), kind="stable")]  # alike ones together
+        found = [x for a in range(0, len(todo), TOGETHER) for x in self._some(todo[a : a + TOGETHER], least[todo[a : a + TOGETHER]], k)]
+        if not found:
+            return
+        # of the documents found, the postings in the order of documents
+        row = np.zeros(self.n + 1, np.int64)
+        row[np.concatenate([doc for _, doc in found])] = 1
+        at = np.flatnonzero(row.astype(bool)[self.docs])
+        at = at[np.argsort(self.docs[at], kind="stable")]
+        row = np.concatenate([[0], np.cumsum(np.bincount(self.docs[at], minlength=self.n))])
+        word, tf = (np.searchsorted(self.first, at, "right") - 1).astype(np.int32), self.tf[at]
+        mark = np.zeros(len(self.size), bool)
+        for q, docs in found:
+            own = places[cut[q] : cut[q + 1]]
+            mark[own] = True
+            size = row[docs + 1] - row[docs]
+            at = tb.spread(row[docs], size)
+            here = np.flatnonzero(mark[word[at]])
+            mark[own] = False
+            at = at[here]
+            value = tf[at].astype(np.float64)
+            value *= (K1 + 1) / (value + self.norm[np.repeat(docs, size)[here]])
+            value *= self.asked.idf[word[at]]
+            value, ends, best = value.tolist(), np.searchsorted(here, np.concatenate([[0], np.cumsum(size)])).tolist(), []
+            for d, i, j in zip(docs.tolist(), ends[:-1], ends[1:], strict=True):
+                score = math.fsum(value[i:j])  # the words' scores, rounded once
+                if score > 0 and score >= least[q] * SLACK:
+                    best += [(-score, x) for x in self.ids[self.of[d] : min(self.of[d] + k, self.of[d + 1])].tolist()]
+            if best:
+                best = sorted(best)[:k]
+                yield q, np.array([x for _, x in best], np.int64), np.array([-x for x, _ in best])
+
+    def _some(self, queries: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, documents) that can be among the top k of each of some queries, by sums within `slack`."""
+        places, cut = self.asked.places, self.asked.cut
+        edge = (least * self.slack).astype(np.float32)
+        wanted = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        words = []
+        for i, q in enumerate(queries.tolist()):
+            own = places[cut[q] : cut[q + 1]]
+            column = self.column[own]
+            wanted[i, column[column >= 0]] = 1
+            words.append(own[(column < 0) & (self.size[own] > 0)])
+        peak = wanted @ self.peak.T
+        score = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        stay = np.zeros(score.shape, bool)
+        for i, own in enumerate(words):
+            score[i, : self.n] = self.seldom(own)
+            bound = np.repeat(peak[i], BLOCK)[: self.n]
+            np.minimum(bound, self.own, out=bound)
+            bound += score[i, : self.n]
+            np.greater_equal(bound, edge[i], out=stay[i, : self.n])
+            if edge[i] <= 0:
+                stay[i, : self.n] &= bound > 0
+        # where many queries have documents that stay, blocks are completed for all of them at once
+        many = np.flatnonzero(stay.sum(axis=1) > ALONE * self.n)
+        hits: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
+        if len(many):
+            common = stay[many].reshape(len(many), self.blocks, BLOCK).any(axis=2).mean(axis=0) > ALONE
+            ends = np.flatnonzero(np.diff(np.concatenate([[False], common, [False]])))
+            for a, b in (ends.reshape(-1, 2) * BLOCK).tolist():
+                for c in range(a, b, WIDE):
+                    d = min(b, c + WIDE)
+                    total = wanted[many] @ self.dense[c:d].T
+                    total += score[many, c:d]
+                    for j, i in enumerate(many.tolist()):
+                        if edge[i] > 0:
+                            at = np.flatnonzero(total[j] >= edge[i])
+                        else:
+                            at = np.flatnonzero(total[j])
+                        if len(at):
+                            hits[i].append((at + c, total[j, at]))
+            stay[np.ix_(many, np.flatnonzero(np.repeat(common, BLOCK)))] = False
+        for i, q in enumerate(queries.tolist()):
+            at = np.flatnonzero(stay[i])
+            if len(at):
+                hits[i].append((at, score[i, at] + self.dense[at] @ wanted[i]))
+            if not hits[i]:
+                continue
+            doc, total = (np.concatenate(x) for x in zip(*hits[i], strict=True))
+            keep = total >= edge[i]
+            if len(doc) > k:
+                keep &= total >= np.partition(total, -k)[-k] * self.slack
+            if keep.any():
+                yield q, self.to[doc[keep]]
 
 
 def _search(shared, mean: float, k: int):
     names = ["ids", "copies", "words", "first", "docs", "tf", "lengths"]
 
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, ...]]]:
+        rows, n, postings = [], 0, 0
+        for batch in batches:
+            for at in range(len(batch)):
+                rows.append(tuple(batch.column(c)[at].as_py() for c in names))
+                n, postings = n + len(rows[-1][1]) // 4, postings + int(np.frombuffer(rows[-1][3], "<i4")[-1])
+                if n >= GROUP or postings >= GROUPED:
+                    yield rows
+                    rows, n, postings = [], 0, 0
+        if rows:
+            yield rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Asked = shared.value
         least = asked.least.copy()
         best = np.repeat(least[:, None], k, axis=1)  # the scores of this task's best, by query
-        cut = asked.cut.tolist()
-        for batch in batches:
-            for at in range(len(batch)):
-                part = Segment(*(batch.column(c)[at].as_py() for c in names), asked, mean)
-                out = []
-                for q, name in enumerate(asked.names.tolist()):
-                    ids, score = part.search(asked.places[cut[q] : cut[q + 1]], least[q], k)
-                    if len(ids):
-                        out.append((np.full(len(ids), name), ids, score))
-                        best[q] = np.sort(np.concatenate([best[q], score]))[-k:]
-                        least[q] = best[q, 0]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "score"])
+        for rows in groups(batches):
+            part, out = Group(rows, asked, mean), []
+            for q, ids, score in part.search(least, k):
+                out.append((np.full(len(ids), asked.names[q]), ids, score))
+                best[q] = np.sort(np.concatenate([best[q], score]))[-k:]
+                least[q] = best[q, 0]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "score"])
 
     return run
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -366,6 +367,40 @@ def test_bm25_in_many_segments(spark, monkeypatch):
     assert_best(found(df, part, 4), want)
 
 
+def test_bm25_segments_searched_together(monkeypatch):
+    """Segments as one group: completed by matrix products or each by itself, with any threshold, all hits and exact scores."""
+    random.seed(12)
+    often, seldom = [f"o{i}" for i in range(12)], [f"s{i}" for i in range(400)]
+    rows = [(i, " ".join(random.choices(often, k=random.randint(0, 30)) + random.choices(seldom, k=random.randint(0, 6)))) for i in range(700)]
+    rows += [(700 + i, rows[i][1]) for i in range(30)]
+    want = collections.defaultdict(list)
+    for q, _, d, score in best_by_force(rows, rows[::9], 4):
+        want[q].append((d, score))
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([r[0] for r in some]), pa.array([r[1] for r in some], pa.large_string())], ["doc_id", "text"])
+    monkeypatch.setattr(bm25, "SEGMENT", 100)
+    made = list(bm25._segments(3)(iter([batch(rows[a : a + 20]) for a in range(0, 730, 20)])))
+    columns = [tuple(m.column(c)[0].as_py() for c in ("ids", "copies", "words", "first", "docs", "tf", "lengths")) for m in made]
+    df = collections.Counter()
+    for m in bm25._frequencies(iter(made)):
+        df.update(dict(zip(m.column("word").to_pylist(), m.column("df").to_pylist(), strict=True)))
+    known = np.array(list(df)).view(np.uint64)
+    idf = np.array([math.log1p((730 - n + 0.5) / (n + 0.5)) for n in df.values()])
+    mean = sum(m.column("total")[0].as_py() for m in made) / 730
+    lines = [types.SimpleNamespace(query_id=i, words=w) for m in bm25._asked(3)(iter([batch(rows[::9])])) for i, w, n in zip(*m.to_pydict().values(), strict=True) if n]
+    asked = bm25.Asked(lines, known, idf)
+    group = bm25.Group(columns, asked, mean)
+    assert len(made) == 8 and group.n <= 730 and len(group.dense) >= group.n
+    last = np.array([want[q][-1][1] for q in asked.names.tolist()])
+    for alone, together, wide, least in ((0.0, 128, 2048, 0 * last), (1.0, 3, 2048, 0 * last), (0.0, 7, 64, last), (1.0, 128, 64, last), (0.03, 128, 2048, last)):
+        for name, value in (("ALONE", alone), ("TOGETHER", together), ("WIDE", wide)):
+            monkeypatch.setattr(bm25, name, value)
+        got = {int(asked.names[q]): list(zip(ids.tolist(), score.tolist(), strict=True)) for q, ids, score in group.search(least, 4)}
+        assert got.keys() == want.keys()
+        for q, hits in got.items():
+            assert [d for d, _ in hits] == [d for d, _ in want[q]]
+            assert [x for _, x in hits] == pytest.approx([x for _, x in want[q]], abs=1e-9)
+
+
 # Two words that a polynomial hash modulo 2**64 can't tell apart, whatever its odd base.
 THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
 MORSE = THUE.translate(str.maketrans("ab", "ba"))
