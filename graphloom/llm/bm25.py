@@ -177,8 +177,8 @@ class Asked:
 class Group:
     """Some segments as one: the postings of a block's words, and what they add to its queries.
 
-    Rows of the index with consecutive documents; words are places in `asked.words`. `dense` has
-    the documents in the order of what the frequent words add to them, `to` is that order.
+    Rows of the index with consecutive documents; words are places in `asked.words`. Documents
+    are numbered anew, in the order of what the frequent words add to them: `to` is that order.
     """
 
     def __init__(self, rows: list[tuple[bytes, ...]], asked: Asked, mean: float):
@@ -225,10 +225,13 @@ class Group:
         frequent = np.concatenate([self.docs[r] for r in runs] or [self.docs[:0]]), np.concatenate([self.value[r] for r in runs] or [self.value[:0]])
         own = np.bincount(*frequent, self.n)
         self.to = np.argsort(-own, kind="stable")
-        self.own = own[self.to].astype(np.float32)
-        rank = np.empty(self.n, np.int64)
+        rank = np.empty(self.n, np.int32)
         rank[self.to] = np.arange(self.n)
+        self.docs[:] = rank[self.docs]
+        self.norm = self.norm[self.to]
         self.blocks = -(-self.n // BLOCK)
+        self.own = np.zeros((self.blocks, BLOCK), np.float32)
+        self.own.ravel()[: self.n] = own[self.to]
         self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         self.dense[rank[frequent[0]], np.repeat(np.arange(len(often)), size[often])] = frequent[1]
         self.peak = self.dense.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
@@ -236,9 +239,9 @@ class Group:
         self.slack = SLACK - (len(often) + 24) * 2.0**-23
 
     def seldom(self, words: np.ndarray) -> np.ndarray:
-        """What the words' postings add to each document, in the order of `dense`."""
+        """What the words' postings add to each document."""
         found = self.postings.take(tb.spread(self.first[words], self.size[words]))
-        return np.bincount(found.view(np.int32)[LOW::2], found.view(np.float32)[1 - LOW :: 2], self.n).take(self.to)
+        return np.bincount(found.view(np.int32)[LOW::2], found.view(np.float32)[1 - LOW :: 2], self.n)
 
     def search(self, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, doc_ids, exact scores) of the group's top k of each query, without those below its `least`."""
@@ -271,7 +274,7 @@ class Group:
             value *= (K1 + 1) / (value + self.norm[np.repeat(docs, size)[here]])
             value *= self.asked.idf[word[at]]
             value, ends, best = value.tolist(), np.searchsorted(here, np.concatenate([[0], np.cumsum(size)])).tolist(), []
-            for d, i, j in zip(docs.tolist(), ends[:-1], ends[1:], strict=True):
+            for d, i, j in zip(self.to[docs].tolist(), ends[:-1], ends[1:], strict=True):
                 score = math.fsum(value[i:j])  # the words' scores, rounded once
                 if score > 0 and score >= least[q] * SLACK:
                     best += [(-score, x) for x in self.ids[self.of[d] : min(self.of[d] + k, self.of[d + 1])].tolist()]
@@ -281,28 +284,28 @@ class Group:
 
     def _some(self, queries: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
         """(query, documents) that can be among the top k of each of some queries, by sums within `slack`."""
-        places, cut = self.asked.places, self.asked.cut
+        first, count = self.asked.cut[queries], self.asked.cut[queries + 1] - self.asked.cut[queries]
         edge = (least * self.slack).astype(np.float32)
+        own, of = self.asked.places[tb.spread(first, count)], np.repeat(np.arange(len(queries)), count)
+        column = self.column[own]
         wanted = np.zeros((len(queries), self.dense.shape[1]), np.float32)
-        words = []
-        for i, q in enumerate(queries.tolist()):
-            own = places[cut[q] : cut[q + 1]]
-            column = self.column[own]
-            wanted[i, column[column >= 0]] = 1
-            words.append(own[(column < 0) & (self.size[own] > 0)])
+        wanted[of[column >= 0], column[column >= 0]] = 1
+        rare = (column < 0) & (self.size[own] > 0)
+        words = np.split(own[rare], np.searchsorted(of[rare], np.arange(1, len(queries))))
         peak = wanted @ self.peak.T
         score = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
         stay = np.zeros(score.shape, bool)
+        bound = np.empty_like(self.own)
         for i, own in enumerate(words):
             score[i, : self.n] = self.seldom(own)
-            bound = np.repeat(peak[i], BLOCK)[: self.n]
-            np.minimum(bound, self.own, out=bound)
-            bound += score[i, : self.n]
-            np.greater_equal(bound, edge[i], out=stay[i, : self.n])
-            if edge[i] <= 0:
-                stay[i, : self.n] &= bound > 0
+            np.minimum(self.own, peak[i][:, None], out=bound)
+            bound += score[i].reshape(bound.shape)
+            if edge[i] > 0:
+                np.greater_equal(bound.ravel(), edge[i], out=stay[i])
+            else:
+                np.greater(bound.ravel(), 0, out=stay[i])
         # where many queries have documents that stay, blocks are completed for all of them at once
-        many = np.flatnonzero(stay.sum(axis=1) > ALONE * self.n)
+        many = np.flatnonzero([np.count_nonzero(x) > ALONE * self.n for x in stay])
         hits: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
         if len(many):
             common = stay[many].reshape(len(many), self.blocks, BLOCK).any(axis=2).mean(axis=0) > ALONE
@@ -331,7 +334,7 @@ class Group:
             if len(doc) > k:
                 keep &= total >= np.partition(total, -k)[-k] * self.slack
             if keep.any():
-                yield q, self.to[doc[keep]]
+                yield q, doc[keep]
 
 
 def _search(shared, mean: float, k: int):
