@@ -1,5 +1,6 @@
-"""Connected components: union-find in each partition, then large-star and small-star
-rounds (Kiveris et al., 2014) between them. No task and no driver holds a whole component."""
+"""Connected components: union-find in each partition, then one more of what they leave where that
+is few links, else large-star and small-star rounds (Kiveris et al., 2014). No task holds more than
+HELD nodes or so, whatever the components, and no driver any."""
 
 from __future__ import annotations
 
@@ -13,11 +14,11 @@ from .deal import dealt
 from .store import forget, keep
 from .workers import by_batch
 
-#: Links that one union-find holds before it hands on its forest.
+#: Nodes that one union-find holds before it hands on its forest.
 HELD = 1 << 20
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -44,7 +45,11 @@ def components(links: DataFrame) -> DataFrame:
     """links: u, v (long). Returns u and root, the least node that u reaches, for each u that isn't a root;
     the caller may forget() them."""
     spark = links.sparkSession
-    edges = keep(by_batch(links.where("u <> v"), _forest, "u long, v long"), "forest")
+    edges = keep(by_batch(links.where("u <> v"), forest, "u long, v long"), "forest")
+    if edges.count() <= HELD // 2:  # at most HELD nodes: one union-find ends it
+        root = keep(by_batch(edges.coalesce(1), forest, "u long, v long").toDF("u", "root"), "roots")
+        forget(edges)
+        return root
     total = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = total()
     while True:

@@ -24,6 +24,7 @@ aren't read. A text, and its set, is held whole; no more than a tile of sets is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .components import components
+from .components import components, forest
 from .deal import dealt
 from .store import forget, keep
 from .workers import by_batch, numbered
@@ -68,14 +69,33 @@ def _features(k: int, key: int):
 
 
 def _sets(k: int, key: int):
+    """Rows of one doc_id follow each other; of its equal sets one is returned."""
+    digest = lambda made: hashlib.blake2b(made, digest_size=32).digest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = None
+        had: set[bytes] = set()  # digests of the sets of `last`, from its second row on
+
+        def new(id: int, made: bytes) -> bool:
+            nonlocal last, first
+            if id != last:
+                last, first = id, made
+                had.clear()
+                return True
+            if not had:
+                had.add(digest(first))
+            before = len(had)
+            had.add(digest(made))
+            return len(had) > before
+
         for batch in batches:
             for a, b, texts in tb.pieces(batch.column("text")):
                 start, end, of = texts.words()
                 value, of = tb.shingles(texts.hashes(start, end, True, key), of, texts.n, k)
                 cut = np.searchsorted(of, np.arange(texts.n + 1))
-                made = pa.array([np.sort(value[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), made], ["rep", "set"])
+                ids = batch.column("doc_id").slice(a, b - a).to_pylist()
+                rows = [(id, made) for id, i, j in zip(ids, cut[:-1], cut[1:], strict=True) if new(id, made := np.sort(value[i:j]).tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["rep", "set"])
 
     return run
 
@@ -138,9 +158,9 @@ def _tiles(share: Fraction):
 
 
 def _test(rows: DataFrame, share: Fraction) -> DataFrame:
-    """Links of all tiles. rows: t_1, t_2, t_3, side, rep, comp, set."""
-    keys = [c for c in rows.columns if c.startswith("t_")]
-    return by_batch(rows.repartition(*keys).sortWithinPartitions(*keys), _tiles(share), "u long, v long").distinct()
+    """Of the links of all tiles a forest for each task. rows: t_1, t_2, t_3, side, rep, comp, set."""
+    keys, tiles = [c for c in rows.columns if c.startswith("t_")], _tiles(share)
+    return by_batch(rows.repartition(*keys).sortWithinPartitions(*keys), lambda batches: forest(tiles(batches)), "u long, v long")
 
 
 def _blocks(n: str, size: str) -> Column:
@@ -171,33 +191,33 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = keep(by_batch(source, _features(words, key), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "features")
     real = seen.where("doc_id is not null and n_shingles > 0")
-    classes = keep(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    lead = F.min(F.struct("doc_id", "n_shingles", "bands"))  # bands follow from the set
+    classes = keep(real.groupBy("d1", "d2").agg(lead.alias("lead"), F.count("*").alias("copies")).select("d1", "d2", "copies", F.col("lead.doc_id").alias("rep"), (8 * F.col("lead.n_shingles")).alias("size"), "lead.bands"), "classes")
 
     # buckets of classes that share a band
-    lead = real.select(F.col("doc_id").alias("rep"), "d1", "d2", "bands", (8 * F.col("n_shingles")).alias("size")).join(classes.select("rep", "d1", "d2").hint("merge"), ["rep", "d1", "d2"])
-    spread = lead.select("rep", "size", F.explode("bands").alias("bucket"))
+    spread = classes.select("rep", "size", F.explode("bands").alias("bucket"))
     pivot = keep(spread.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots")
     total = classes.count() * (SLOTS // ROWS)
-    member = keep(dealt(spread, pivot, ["bucket"], "n", total).where("rep <> pivot").select("bucket", "pivot", "rep", "size").distinct(), "buckets")
+    member = keep(dealt(spread, pivot, ["bucket"], "n", total, once=True).where("rep <> pivot").select("bucket", "pivot", "rep", "size"), "buckets")
 
     # full sets of all candidates
     ids = keep(member.select("rep").union(member.select("pivot")).distinct(), "candidates")
-    wanted = by_batch(_marked(source, "doc_id", ids).where("may").select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == ids.rep, "left_semi"), _sets(words, key), "rep long, set binary")
-    sets = keep(wanted.distinct(), "sets")
+    wanted = _marked(source, "doc_id", ids).where("may").select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == ids.rep, "left_semi")
+    sets = keep(by_batch(wanted.sortWithinPartitions("doc_id"), _sets(words, key), "rep long, set binary"), "sets")
 
     # every candidate against the least class of its bucket, a tile at a time
     star = keep(member.select("pivot", "rep", "size").distinct(), "star")
     sized = keep(star.groupBy("pivot").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("pivot", "n", _blocks("n", "bytes").alias("b")), "heads")
     part = F.pmod(F.xxhash64("rep"), F.col("b"))
-    tiled = dealt(star, sized, ["pivot"], "n", star.count()).select(F.col("pivot").alias("t_1"), part.alias("t_2"), F.lit(1).alias("side"), "rep", F.lit(1).alias("comp")).join(sets.hint("merge"), "rep")
-    heads = sized.select(F.col("pivot").alias("rep"), "b").join(sets.hint("merge"), "rep")  # a hot one is multiplied after the join
-    heads = heads.select(F.col("rep").alias("t_1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("t_2"), F.lit(0).alias("side"), "rep", F.lit(0).alias("comp"), "set")
-    near = keep(_test(tiled.select(*heads.columns).union(heads), share), "links")
+    tiled = dealt(star, sized, ["pivot"], "n", star.count()).select(F.col("pivot").alias("t_1"), part.alias("t_2"), F.lit(1).alias("side"), "rep", F.lit(1).alias("comp"))
+    heads = sized.select(F.col("pivot").alias("t_1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("t_2"), F.lit(0).alias("side"), F.col("pivot").alias("rep"), F.lit(0).alias("comp"))
+    near = keep(_test(tiled.union(heads).join(sets.hint("merge"), "rep"), share), "links")
     # rows of one doc_id in several classes tie these
     twice = real.groupBy("doc_id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")).where("a1 <> b1 or a2 <> b2").select("doc_id")
     split = keep(real.select("doc_id", "d1", "d2").join(twice.hint("merge"), "doc_id", "left_semi"), "torn")
-    torn = dealt(split, classes, ["d1", "d2"], "copies", split.count()).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    first = near.union(torn)
+    first = near
+    if n := split.count():
+        first = near.union(dealt(split, classes.select("d1", "d2", "copies", "rep"), ["d1", "d2"], "copies", n).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     comp = components(first)
 
     # buckets that still hold several components: all their pairs, in tiles
@@ -211,7 +231,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: str = "0.8") -> DataFram
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "comp", "set",
     )
     more = keep(_test(rows, share), "links")
-    whole = components(first.union(more))
+    whole = components(comp.toDF("u", "v").union(more))
 
     # back to the rows, by class
     told = classes.join(whole.hint("merge"), classes.rep == whole.u, "left").where("copies > 1 or root is not null")

@@ -95,6 +95,52 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(df, 2).collect()} == groups_by_force(dict(rows), 2, 80)
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """Chains over 40 partitions: one more union-find ends them; star rounds, for more links than one may hold, agree."""
+    from graphloom.llm import components
+
+    random.seed(5)
+    links = [(i + 1, i) for i in range(300) if i % 50] + [(2000, 1000), (1500, 2000), (7, 7)]
+    random.shuffle(links)
+    want = {i: i // 50 * 50 + 1 for i in range(301) if i % 50 != 1 and i // 50 * 50 + 1 < i} | {i: i - 49 for i in range(50, 301, 50)} | {1500: 1000, 2000: 1000}
+    df, kept, keep = spark.createDataFrame(links, "u long, v long").repartition(40), [], components.keep
+    monkeypatch.setattr(components, "keep", lambda made, name: kept.append(name) or keep(made, name))
+    assert {r.u: r.root for r in components.components(df).collect()} == want
+    assert kept == ["forest", "roots"]
+    monkeypatch.setattr(components, "HELD", 16)
+    assert {r.u: r.root for r in components.components(df).collect()} == want and "stars" in kept
+
+
+def test_near_duplicates_need_few_shuffles(spark, monkeypatch):
+    """On a group of near copies that no single text links to all, the plans of the tables that are written have a bounded number of shuffles."""
+    from graphloom.llm import components
+
+    random.seed(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if random.random() > 0.05 else f"v{random.randrange(40)}" for w in base)) for i in range(60)]
+    tables, keep = [], neardup.keep
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "keep", lambda made, name: tables.append(made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or keep(made, name))
+    made = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()} == groups_by_force(dict(rows), 2, 80)
+    assert sum(tables) <= 32, tables
+
+
+def test_rows_of_one_doc_id_tie_their_classes(spark):
+    one, two, near = "a b c d e f g", "q r s t u v w", "q  r s T u v w"
+    rows = [(9, one), (9, two), (4, one), (6, near), (6, near), (6, two), (7, "else where this is"), (None, one)]
+    made = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in made) == [(0, 0), (4, 4), (6, 4), (6, 4), (6, 4), (7, 7), (9, 4), (9, 4)]
+
+
+def test_sets_of_repeated_rows():
+    """Of one doc_id, each set once, whatever the batches; of different ones, each its own."""
+    rows = [(1, "a b c"), (1, "a  b C"), (1, "a b d"), (2, "a b d"), (2, "A b d"), (2, "a b c"), (2, "a b d")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some])], ["doc_id", "text"]) for some in (rows[:2], rows[2:5], rows[5:])]
+    made = [(r["rep"], r["set"]) for b in neardup._sets(2, 9)(iter(batches)) for r in b.to_pylist()]
+    assert [r[0] for r in made] == [1, 1, 2, 2] and made[0][1] == made[3][1] != made[1][1] == made[2][1]
+
+
 def test_quality_measures(odd, documents):
     for df in (odd, documents):
         for r in quality.ledger(df).join(df.select("doc_id", "text"), "doc_id").collect():
